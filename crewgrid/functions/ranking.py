@@ -52,8 +52,15 @@ def _running(df, keys, value, weight, splits):
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     r = r.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    cond = ["_range", *keys]
-    return r.join(base, cond).withColumn("below", F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")
+    out = _join_null_safe(r, base, ["_range", *keys])
+    return out.withColumn("below", F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")
+
+
+def _join_null_safe(left, right, on):
+    """Inner join that treats null keys as one group."""
+    r = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(r, cond).drop(*[f"_r_{c}" for c in on])
 
 
 def value_ranks(df, value, keys=(), splits=None, weight=None):
@@ -139,3 +146,22 @@ def top_k(df, k, keys, order, out="rank_no"):
     """First k rows per key; Spark keeps at most k rows per task and key before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
+
+
+def carry_last(df, keys, order, flag, value, out="last_seen", splits=None):
+    """Struct of the latest row strictly before this one (same keys, unique order
+    column) that satisfies a flag; null when there is none.
+
+    Like the running sums above: the last flagged row of each range is carried
+    over the ranges of a key, so a key with most of the rows is still spread out."""
+    keys = list(keys)
+    if splits is None:
+        splits = split_points(df, order)
+    mark = F.when(flag, F.struct(F.col(order), *[F.col(v) for v in value]))
+    r = add_range(df, order, splits).withColumn("_mark", mark)
+    inside = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tails = r.groupBy(*keys, "_range").agg(F.max("_mark").alias("_tail"))
+    over = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*keys, "_range", F.last("_tail", ignorenulls=True).over(over).alias("_carry"))
+    r = r.withColumn("_near", F.last("_mark", ignorenulls=True).over(inside)).drop("_mark")
+    return _join_null_safe(r, carry, [*keys, "_range"]).withColumn(out, F.coalesce("_near", "_carry")).drop("_near", "_carry", "_range")

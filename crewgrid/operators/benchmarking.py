@@ -83,8 +83,8 @@ def gap_concentration(pos):
     a = pos.agg(F.count_if(F.col("status") == "below").alias("below"),
                 F.count_if((F.col("status") == "below") & F.col("element").isin("ltie", "tdc")).alias("equity_below"),
                 F.count(F.lit(1)).alias("positions"))
-    share = F.when(F.col("below") > 0, F.col("equity_below") / F.col("below"))
-    text = F.when(F.col("below") == 0, "none").when(share >= 0.6, "equity").when(share <= 0.4, "cash").otherwise("mixed")
+    n, e = F.col("below"), F.col("equity_below")
+    text = F.when(n == 0, "none").when(e == n, "all equity").when(e * 2 >= n, "mostly equity").when(e == 0, "all cash").otherwise("spread")
     return a.select("positions", "below", "equity_below", text.alias("concentration"))
 
 

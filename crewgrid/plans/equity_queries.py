@@ -109,9 +109,9 @@ pl AS (SELECT *, base * (1 + mp + pp) AS nb, ab * mp AS ma, ab * pp AS pa, ab *
 rf AS (SELECT (SELECT max(grant_id) FROM grants) + row_number() OVER (ORDER BY emp_id) AS grant_id, emp_id, pg AS participant_group, CAST(greatest(1, round_even(rv / 85.2::DOUBLE, 0)) AS BIGINT) AS shares_granted FROM pl WHERE rv > 0)
 """
 MV = ["workers", "bands", "grants"]
-add("merit_plan", lambda s, d: plan(s, d).select("emp_id", "participant_group", "merit_pct", *[F.bround(c, 6).alias(c) for c in ("compa_ratio", "range_penetration", "merit_amount", "promo_amount", "bonus_amount", "equity_refresh_value", "new_base_salary", "new_compa_ratio")]), MV,
-    MB + """SELECT emp_id, pg AS participant_group, mp AS merit_pct, round_even(compa, 6) AS compa_ratio, round_even((base - range_min) / (range_max - range_min), 6) AS range_penetration, round_even(ma, 6) AS merit_amount, round_even(pa, 6) AS promo_amount,
-round_even(ba, 6) AS bonus_amount, round_even(rv, 6) AS equity_refresh_value, round_even(nb, 6) AS new_base_salary, round_even(nb / range_mid, 6) AS new_compa_ratio FROM pl""")
+add("merit_plan", lambda s, d: plan(s, d).select("emp_id", "participant_group", "merit_pct", *[F.bround(c, 7).alias(c) for c in ("compa_ratio", "range_penetration", "merit_amount", "promo_amount", "bonus_amount", "equity_refresh_value", "new_base_salary", "new_compa_ratio")]), MV,
+    MB + """SELECT emp_id, pg AS participant_group, mp AS merit_pct, round_even(compa, 7) AS compa_ratio, round_even((base - range_min) / (range_max - range_min), 7) AS range_penetration, round_even(ma, 7) AS merit_amount, round_even(pa, 7) AS promo_amount,
+round_even(ba, 7) AS bonus_amount, round_even(rv, 7) AS equity_refresh_value, round_even(nb, 7) AS new_base_salary, round_even(nb / range_mid, 7) AS new_compa_ratio FROM pl""")
 add("merit_cycle_totals", lambda s, d: mr.totals(plan(s, d)), MV, MB + """SELECT count(*) AS eligible_headcount, count(*) FILTER (WHERE status = 'on_leave') AS on_leave_count, round_even(sum(ab), 0) AS payroll, round_even(sum(ab) * 0.035::DOUBLE, 0) AS merit_budget,
 round_even(sum(ma), 0) AS merit_spend, round_even(100 * sum(ma) / sum(ab), 2) AS merit_spend_pct, sum(ma) <= sum(ab) * 0.035::DOUBLE + 1 AS within_budget, round_even(sum(ab) * 0.035::DOUBLE - sum(ma), 0) AS headroom, round_even(sum(pa), 0) AS promo_spend, round_even(sum(ba), 0) AS bonus_pool,
 round_even(sum(rv), 0) AS refresh_value, count(*) FILTER (WHERE promoted_this_period = 'yes') AS promotions, round_even(avg(compa), 3) AS avg_compa_ratio, round_even(avg(nb / range_mid), 3) AS avg_new_compa_ratio, count(*) FILTER (WHERE nb > range_max) AS over_max_after_merit FROM pl""")

@@ -180,7 +180,7 @@ def _pos(s, d):
 
 add("benchmark_positions", _pos, ["proxy_pay"], INC + "SELECT * FROM pos")
 add("benchmark_worst_gaps", lambda s, d: bm.worst_gaps(_pos(s, d)).select("role", "element", "gap"), ["proxy_pay"], INC + "SELECT role, element, gap FROM pos WHERE status = 'below'")
-add("benchmark_gap_concentration", lambda s, d: bm.gap_concentration(_pos(s, d)), ["proxy_pay"], INC + """SELECT positions, below, equity_below, CASE WHEN below = 0 THEN 'none' WHEN equity_below / below >= 0.6 THEN 'equity' WHEN equity_below / below <= 0.4 THEN 'cash' ELSE 'mixed' END AS concentration
+add("benchmark_gap_concentration", lambda s, d: bm.gap_concentration(_pos(s, d)), ["proxy_pay"], INC + """SELECT positions, below, equity_below, CASE WHEN below = 0 THEN 'none' WHEN equity_below = below THEN 'all equity' WHEN equity_below * 2 >= below THEN 'mostly equity' WHEN equity_below = 0 THEN 'all cash' ELSE 'spread' END AS concentration
 FROM (SELECT count(*) AS positions, count(*) FILTER (WHERE status = 'below') AS below, count(*) FILTER (WHERE status = 'below' AND element IN ('ltie', 'tdc')) AS equity_below FROM pos)""")
 add("benchmark_incumbents", lambda s, d: bm.incumbents(bm.comparable(bm.with_total(view(s, d, "proxy_pay")))).select("ticker", "role", "title", "total"), ["proxy_pay"],
     INC.replace(f"ticker = {BSUB} OR ", "") + "SELECT ticker, role, title, total FROM inc")

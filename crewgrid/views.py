@@ -161,15 +161,32 @@ SELECT l_orderkey * 10 + l_linenumber AS row_id, l_suppkey AS ticker,
   CASE WHEN l_orderkey % 50 = 3 THEN 'EXCLUDE: part year' ELSE '' END AS row_caveat
 FROM {lineitem}"""
 
-# A hash-chained decision ledger per event actor bucket; see ledger fixtures.
-VIEWS["ledger_events"] = """
-SELECT event_id, ts, user_id AS actor_id, event_type, value, props,
-  CASE event_type WHEN 'click' THEN 'recommendation' WHEN 'view' THEN 'message' WHEN 'purchase' THEN 'approval'
-    WHEN 'signup' THEN 'action' ELSE 'denial' END AS kind,
-  event_id % (SELECT CAST(count(*) / 20 + 1 AS BIGINT) FROM {events}) AS correlation_id,
-  event_id % 3 AS scope_no
+# Decision ledgers of at most 100 events each; ten events share one thread.
+VIEWS["ledger_rows"] = """
+SELECT event_id, CAST((event_id - event_id % 100) / 100 AS BIGINT) AS ledger_id, CAST(event_id % 100 AS BIGINT) AS sequence, event_id AS position, user_id AS actor_id,
+  CASE WHEN (user_id % 10 = 9) <> (event_id % 53 = 0) THEN 'agent' ELSE 'human' END AS actor_kind,
+  CASE event_id % 10 WHEN 0 THEN 'recommendation' WHEN 5 THEN 'recommendation' WHEN 1 THEN 'approval' WHEN 6 THEN 'approval' WHEN 8 THEN 'approval' WHEN 4 THEN CASE WHEN event_id % 4 = 0 THEN 'note' ELSE 'fyi' END ELSE 'action' END AS type,
+  event_id % 10 IN (0, 5) AND event_id % 29 <> 0 AS requires_approval,
+  CASE WHEN event_id % 10 IN (1, 6, 8) THEN CASE WHEN event_type = 'error' THEN 'denied' WHEN event_id % 59 = 0 THEN 'maybe' ELSE 'approved' END END AS decision,
+  CASE WHEN event_id % 10 IN (1, 2, 6, 7) THEN CASE WHEN event_id % 13 = 0 THEN event_id + 3 ELSE event_id - 1 END WHEN event_id % 10 = 3 THEN event_id - 2 WHEN event_id % 10 = 8 THEN event_id - 3 WHEN event_id % 10 = 9 THEN event_id - 1 END AS causation_id,
+  CASE WHEN event_id % 17 = 0 THEN 'other' WHEN event_id % 41 = 0 THEN NULL WHEN ((event_id - event_id % 10) / 10) % 3 = 2 THEN 'audit' ELSE 'publish' END AS scope,
+  CASE WHEN event_id % 41 = 0 THEN 'publish' END AS approval_scope,
+  CASE WHEN event_id % 61 = 0 THEN NULL WHEN event_id % 19 = 0 THEN 'sha256:0f' ELSE concat('sha256:', CAST(CAST((event_id - event_id % 10) / 10 AS BIGINT) AS STRING)) END AS auth,
+  (user_id % 4 <> 0) <> (event_id % 23 = 0) AS logged_entitled,
+  CASE WHEN event_id % 101 = 0 THEN '' ELSE concat('c', CAST(user_id % 5 AS STRING)) END AS channel,
+  CASE WHEN event_id % 97 = 4 THEN NULL ELSE CAST((event_id - event_id % 10) / 10 AS BIGINT) END AS correlation_id,
+  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 31 = 0 THEN concat('k', CAST(event_id - 1 AS STRING)) ELSE concat('k', CAST(event_id AS STRING)) END AS idempotency_key,
+  concat(CAST(event_id AS STRING), ':', event_type, ':', CAST(user_id AS STRING), ':', props) AS body
 FROM {events}"""
 
+VIEWS["actors"] = """
+SELECT DISTINCT user_id AS actor_id, CASE WHEN user_id % 10 = 9 THEN 'agent' ELSE 'human' END AS kind FROM {events}"""
+VIEWS["role_members"] = """
+SELECT DISTINCT 'publisher' AS role, user_id AS actor_id FROM {events} WHERE user_id % 4 <> 0
+UNION ALL SELECT DISTINCT 'auditor', user_id FROM {events} WHERE user_id % 3 = 0"""
+VIEWS["scopes"] = "SELECT DISTINCT CASE WHEN event_id % 2 = 0 THEN 'publish' ELSE 'audit' END AS scope, CASE WHEN event_id % 2 = 0 THEN 'publisher' ELSE 'auditor' END AS role FROM {events}"
+VIEWS["channel_members"] = "SELECT DISTINCT user_id AS actor_id, concat('c', CAST((user_id + CASE WHEN user_id % 6 = 0 THEN 1 ELSE 0 END) % 5 AS STRING)) AS channel FROM {events}"
+
 # Published claims and what supports them, by key arithmetic over parts.
 VIEWS["claims"] = """
 SELECT p_partkey AS claim_id, p_partkey % 4 <> 1 AS material, p_partkey % 11 = 5 AS blocked, p_retailprice AS value, p_size AS size
@@ -182,6 +199,44 @@ SELECT DISTINCT claim_id, target_kind, target_id FROM (
   UNION ALL SELECT l_partkey, 'source', l_suppkey FROM {lineitem} WHERE l_partkey % 3 = 0 AND l_linenumber = 1
   UNION ALL SELECT p_partkey, 'source', p_partkey % 10 FROM {part} WHERE p_partkey < 3) e"""
 
+VIEWS["cyclic_edges"] = """
+SELECT * FROM support_edges
+UNION ALL SELECT CAST((p_partkey - p_partkey % 3) / 3 AS BIGINT), 'claim', p_partkey FROM {part} WHERE p_partkey % 3 <> 0 AND p_partkey > 2 AND p_partkey % 37 = 1"""
+
+VIEWS["sources"] = "SELECT s_suppkey AS source_id FROM {supplier} WHERE s_suppkey % 50 <> 7"
+
+VIEWS["reviews"] = """
+SELECT l_partkey AS claim_id, CASE l_linenumber % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'approved' ELSE 'reviewed' END AS status, CAST(CAST(l_shipdate AS DATE) AS STRING) AS reviewed_at
+FROM {lineitem} WHERE l_partkey % 9 <> 2"""
+
+VIEWS["claim_caveats"] = "SELECT p_partkey AS claim_id, CASE p_partkey % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'warning' ELSE 'blocking' END AS severity FROM {part} WHERE p_partkey % 5 = 1"
+VIEWS["claim_checks"] = "SELECT p_partkey AS claim_id, p_partkey % 20 AS check_id FROM {part} WHERE p_partkey % 4 <> 1"
+VIEWS["check_sources"] = "SELECT s_suppkey % 20 AS check_id, s_suppkey AS source_id FROM {supplier}"
+VIEWS["claim_displays"] = """
+SELECT p_partkey AS claim_id, p_retailprice AS value, CASE WHEN p_partkey % 7 = 0 THEN concat('$', CAST(CAST(floor(p_retailprice / 1000) AS BIGINT) AS STRING), 'K')
+  ELSE concat('$', CAST(CAST(floor(p_retailprice) + p_partkey % 3 AS BIGINT) AS STRING)) END AS display_value FROM {part}"""
+
+VIEWS["requisitions"] = """
+SELECT concat('R-', CAST(o.o_orderkey AS STRING)) AS req_id, o.o_orderpriority AS title, c.c_mktsegment AS department, concat('N', CAST(c.c_nationkey AS STRING)) AS location, n.n_name AS country,
+  CAST(o.o_orderdate AS DATE) AS opened_date, CASE o.o_orderkey % 4 WHEN 0 THEN 'Sourcing' WHEN 1 THEN 'Screen' WHEN 2 THEN 'Onsite' ELSE 'Offer' END AS stage,
+  concat('rec ', CAST(o.o_custkey % 25 AS STRING)) AS recruiter, concat('mgr ', CAST(o.o_custkey % 40 AS STRING)) AS hiring_manager, CAST(o.o_orderkey % 9 AS INT) AS pipeline,
+  CAST(CASE WHEN o.o_orderkey % 200 = 9 THEN o.o_orderdate - INTERVAL 5 DAY ELSE o.o_orderdate + INTERVAL 20 DAY END AS DATE) AS last_update,
+  CASE o.o_orderkey % 3 WHEN 0 THEN 'P1' WHEN 1 THEN 'P2' ELSE 'P3' END AS priority,
+  CASE o.o_orderkey % 6 WHEN 0 THEN 'filled' WHEN 1 THEN 'on-hold' WHEN 2 THEN CASE WHEN o.o_orderkey % 11 = 0 THEN 'draft' ELSE 'closed' END ELSE 'open' END AS status
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey WHERE CAST(o.o_orderdate AS DATE) <= DATE '2000-12-31'"""
+
+VIEWS["comp_snapshot"] = """
+SELECT w.emp_id, w.level, w.job_family, w.location, w.base_salary, b.range_min, b.range_mid, b.range_max, CASE WHEN w.emp_id % 6 = 0 THEN 'yes' ELSE 'no' END AS exception_flag
+FROM workers w JOIN bands b ON w.band_id = b.band_id"""
+
+VIEWS["docs"] = "SELECT doc_id, text FROM {documents}"
+VIEWS["turns"] = "SELECT conv_id, turn, text FROM {conversations}"
+VIEWS["roster"] = "SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS token FROM {part} UNION SELECT DISTINCT upper(p_type) FROM {part} UNION SELECT 'QUE' UNION SELECT 'THE'"
+VIEWS["part_names"] = "SELECT p_partkey AS id, concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN concat(' ', lower(p_type)) ELSE '' END) AS name FROM {part}"
+VIEWS["name_roster"] = "SELECT DISTINCT concat(split_part(p_name, ' ', 2), ' ', lower(p_type)) AS name FROM {part} WHERE p_partkey % 10 = 3"
+
+VIEWS["event_props"] = "SELECT event_id, props FROM {events}"
+
 _NAMES = {k: re.compile(rf"\b{k}\b") for k in VIEWS}
 
 
