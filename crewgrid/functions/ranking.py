@@ -38,22 +38,33 @@ def add_range(df, value, splits, out="_range"):
     return b.transform(df.withColumn("_range_in", F.col(value).cast("double"))).drop("_range_in")
 
 
-def _running(df, keys, value, weight, splits):
-    """Exclusive running sum `below` and key total `total` of weight in value order.
+def running_totals(df, keys, value, weights, splits=None):
+    """Exclusive running sums below_<w> and key totals total_<w>, in value order.
     `df` holds one row per (keys, value)."""
+    keys = list(keys)
+    if splits is None:
+        splits = split_points(df, value)
     r = add_range(df, value, splits)
-    totals = r.groupBy(*keys, "_range").agg(F.sum(weight).alias("_w"))
+    totals = r.groupBy(*keys, "_range").agg(*[F.sum(w).alias(f"_s_{w}") for w in weights])
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(
         *keys, "_range",
-        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_base"),
-        F.sum("_w").over(over).alias("total"),
+        *[F.coalesce(F.sum(f"_s_{w}").over(before), F.lit(0)).alias(f"_b_{w}") for w in weights],
+        *[F.sum(f"_s_{w}").over(over).alias(f"total_{w}") for w in weights],
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    for w in weights:
+        r = r.withColumn(f"_i_{w}", F.coalesce(F.sum(w).over(inside), F.lit(0)))
     out = _join_null_safe(r, base, ["_range", *keys])
-    return out.withColumn("below", F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")
+    for w in weights:
+        out = out.withColumn(f"below_{w}", F.col(f"_b_{w}") + F.col(f"_i_{w}"))
+    return out.drop("_range", *[f"_{p}_{w}" for p in "bi" for w in weights])
+
+
+def _running(df, keys, value, weight, splits):
+    out = running_totals(df, keys, value, [weight], splits)
+    return out.withColumnsRenamed({f"below_{weight}": "below", f"total_{weight}": "total"})
 
 
 def _join_null_safe(left, right, on):
@@ -165,3 +176,13 @@ def carry_last(df, keys, order, flag, value, out="last_seen", splits=None):
     carry = tails.select(*keys, "_range", F.last("_tail", ignorenulls=True).over(over).alias("_carry"))
     r = r.withColumn("_near", F.last("_mark", ignorenulls=True).over(inside)).drop("_mark")
     return _join_null_safe(r, carry, [*keys, "_range"]).withColumn(out, F.coalesce("_near", "_carry")).drop("_near", "_carry", "_range")
+
+
+def ordered_positions(df, value, tie, keys=(), out="pos", splits=None):
+    """0-based position in (value, tie) order.  Equal values are numbered inside
+    their block by ranges of the tie column, so a block may hold any share of the rows."""
+    keys = list(keys)
+    blocks = value_ranks(df, value, keys, splits).select(*keys, value, F.col("below").alias("_block"), F.col("total").alias("_total"))
+    r = _running(df.withColumn("_one", F.lit(1)), [*keys, value], tie, "_one", split_points(df, tie)).drop("_one", "total")
+    j = _join_null_safe(r, blocks, [*keys, value])
+    return j.withColumn(out, F.col("_block") + F.col("below")).withColumnRenamed("_total", f"{out}_total").drop("_block", "below")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crewgrid.functions.hashing import canonical_json, sha256
-from crewgrid.session import ensure_checkpoint_dir
+from crewgrid.session import ensure_checkpoint_dir, scratch_folder
 
 MAX_ROUNDS = 10_000
 
@@ -14,41 +14,36 @@ def _row(df, rule, key):
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
 
 
-def _grow(done, new):
-    """Union of two stored frames; fresh column names keep their stored constraints apart."""
-    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in done.columns])
-    return fresh(done).union(fresh(new)).checkpoint()
+def _rounds(start, step):
+    """Semi-naive iteration.  Every round's new rows are written once to the shared
+    folder; the next round reads what all rounds wrote.  Nothing is rewritten, and a
+    lost executor only costs the round in progress."""
+    spark = start.sparkSession
+    path = scratch_folder(spark)
+    start.write.parquet(f"{path}/round=0")
+    schema = start.schema
+    read = lambda k: spark.read.schema(schema).parquet(*[f"{path}/round={i}" for i in k])
+    for k in range(1, MAX_ROUNDS):
+        new = step(read([k - 1])).join(read(range(k)), start.columns, "left_anti")
+        new.select(*start.columns).write.parquet(f"{path}/round={k}")
+        if read([k]).isEmpty():
+            return read(range(k))
+    raise RuntimeError("no fixed point reached")
 
 
 def grounded_claims(edges):
     """Claims that reach at least one source.  Only the newly grounded claims go
     round again, and each claim is kept once, so work is bounded by the edges."""
-    ensure_checkpoint_dir(edges.sparkSession)
     up = edges.where("target_kind = 'claim'").select("claim_id", F.col("target_id").alias("supporter"))
-    done = edges.where("target_kind = 'source'").select("claim_id").distinct().checkpoint()
-    front = done
-    for _ in range(MAX_ROUNDS):
-        new = up.join(front.withColumnRenamed("claim_id", "supporter"), "supporter", "left_semi").select("claim_id").distinct()
-        front = new.join(done, "claim_id", "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        done = _grow(done, front)
-    return done
+    start = edges.where("target_kind = 'source'").select("claim_id").distinct()
+    return _rounds(start, lambda f: up.join(f.withColumnRenamed("claim_id", "supporter"), "supporter", "left_semi").select("claim_id").distinct())
 
 
 def source_closure(edges):
-    """(claim, source) over all support paths, semi-naive: each round extends only the pairs found last."""
-    ensure_checkpoint_dir(edges.sparkSession)
+    """(claim, source) over all support paths: each round extends only the pairs found last."""
     up = edges.where("target_kind = 'claim'").select("claim_id", F.col("target_id").alias("supporter"))
-    done = edges.where("target_kind = 'source'").select("claim_id", F.col("target_id").alias("source_id")).distinct().checkpoint()
-    front = done
-    for _ in range(MAX_ROUNDS):
-        step = front.withColumnRenamed("claim_id", "supporter").join(up, "supporter").select("claim_id", "source_id").distinct()
-        front = step.join(done, ["claim_id", "source_id"], "left_anti").checkpoint()
-        if front.isEmpty():
-            break
-        done = _grow(done, front)
-    return done
+    start = edges.where("target_kind = 'source'").select("claim_id", F.col("target_id").alias("source_id")).distinct()
+    return _rounds(start, lambda f: f.withColumnRenamed("claim_id", "supporter").join(up, "supporter").select("claim_id", "source_id").distinct())
 
 
 def cyclic_claims(edges):

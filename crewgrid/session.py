@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,5 +47,10 @@ def ensure_checkpoint_dir(spark):
     return named
 
 
+def scratch_folder(spark):
+    """A new folder in the shared checkpoint folder, for tables an iteration writes once and reads again."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/crewgrid-{uuid.uuid4().hex}"
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -237,6 +237,26 @@ VIEWS["name_roster"] = "SELECT DISTINCT concat(split_part(p_name, ' ', 2), ' ',
 
 VIEWS["event_props"] = "SELECT event_id, props FROM {events}"
 
+VIEWS["month_orders"] = """
+SELECT o_custkey AS k, CAST((year(o_orderdate) - 1998) * 12 + month(o_orderdate) - 1 AS INT) AS mi, count(*) AS n FROM {orders} GROUP BY 1, 2"""
+
+VIEWS["panel_months"] = """
+SELECT mi, CAST(CAST(DATE '1998-02-01' + mi * INTERVAL 1 MONTH AS DATE) - INTERVAL 1 DAY AS DATE) AS month FROM (
+  SELECT CAST(a.i * 6 + b.i AS INT) AS mi FROM (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) a
+  CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) b) x"""
+
+VIEWS["panel"] = """
+SELECT w.emp_id, m.month, m.mi AS month_index, w.level, w.job_family, w.location, w.emp_id * 100 + m.mi AS row_id,
+  CASE WHEN w.term_date > m.month AND (year(w.term_date) - 1998) * 12 + month(w.term_date) - 1 = m.mi + 1 THEN CASE WHEN w.emp_id % 15 = 6 THEN 'retirement' ELSE w.term_type END ELSE 'none' END AS event_next,
+  w.base_salary / (50000.0E0 + 20000 * (w.emp_id % 5)) AS comp_ratio,
+  CAST(coalesce(a.n, 0) + coalesce(b.n, 0) + coalesce(c.n, 0) AS DOUBLE) AS recent_orders,
+  CASE WHEN (w.emp_id + m.mi) % 7 = 3 THEN NULL ELSE CAST(coalesce(a.n, 0) - coalesce(c.n, 0) AS DOUBLE) END AS order_trend,
+  CAST(CASE WHEN (year(m.month) - year(w.hire_date)) * 12 + month(m.month) - month(w.hire_date) BETWEEN 18 AND 24 THEN 1 ELSE 0 END AS DOUBLE) AS tenure_window,
+  CAST(w.emp_id % 5 AS DOUBLE) AS grade, CAST((w.emp_id * 37 + m.mi * 11) % 17 AS DOUBLE) AS noise
+FROM workers w JOIN panel_months m ON w.hire_date <= m.month AND (w.term_date IS NULL OR w.term_date > m.month)
+LEFT JOIN month_orders a ON a.k = w.emp_id AND a.mi = m.mi LEFT JOIN month_orders b ON b.k = w.emp_id AND b.mi = m.mi - 1 LEFT JOIN month_orders c ON c.k = w.emp_id AND c.mi = m.mi - 2
+WHERE w.worker_type = 'employee'"""
+
 _NAMES = {k: re.compile(rf"\b{k}\b") for k in VIEWS}
 
 
