@@ -28,7 +28,7 @@ def build_session(app="crewgrid", cores="*", shuffle_partitions=8, memory="8g",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return guard(spark)
 
 
 def ensure_checkpoint_dir(spark):
@@ -52,5 +52,13 @@ def scratch_folder(spark):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/crewgrid-{uuid.uuid4().hex}"
 
 
+def guard(spark):
+    """Spark 4.1 may take a union of equally partitioned inputs for one partitioned
+    input and then join it wrongly; this keeps unions plain."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark, sf_dir, name):
+    guard(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -257,6 +257,31 @@ FROM workers w JOIN panel_months m ON w.hire_date <= m.month AND (w.term_date IS
 LEFT JOIN month_orders a ON a.k = w.emp_id AND a.mi = m.mi LEFT JOIN month_orders b ON b.k = w.emp_id AND b.mi = m.mi - 1 LEFT JOIN month_orders c ON c.k = w.emp_id AND c.mi = m.mi - 2
 WHERE w.worker_type = 'employee'"""
 
+VIEWS["unit_prices"] = """
+SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS day, CAST(l_orderkey AS BIGINT) * 1000000000 + l_partkey * 10 + l_linenumber AS seq, CAST(floor(l_extendedprice / l_quantity) AS BIGINT) AS price FROM {lineitem}"""
+
+VIEWS["plan_companies"] = """
+SELECT CAST((s_suppkey - s_suppkey % 25) / 25 AS BIGINT) AS plan_id, s_suppkey AS ticker, CASE WHEN s_suppkey % 25 = 0 THEN 'issuer' ELSE 'peer' END AS role, s_suppkey % 13 <> 5 AS index_start, s_suppkey % 17 <> 3 AS index_end FROM {supplier}"""
+
+VIEWS["tranches"] = """
+SELECT DISTINCT l_suppkey AS company_id, l_suppkey * 10 + l_linenumber % 4 AS neo_id, concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING)) AS tranche_id,
+  CASE l_returnflag WHEN 'A' THEN 'option' WHEN 'R' THEN 'psu_rtsr' ELSE 'rsu' END AS type, CAST(year(l_shipdate) AS INT) AS grant_fy, CAST(l_shipdate AS DATE) AS grant_date,
+  CAST(l_shipdate + INTERVAL 500 DAY AS DATE) AS vest_date, l_partkey % 8 = 3 AS forfeited, CASE WHEN l_partkey % 8 = 3 THEN CAST(l_shipdate + INTERVAL 200 DAY AS DATE) END AS forfeit_date,
+  CAST(l_quantity AS BIGINT) AS shares, CAST(30 + l_partkey % 40 AS BIGINT) AS strike, CAST(l_shipdate + INTERVAL 1500 DAY AS DATE) AS expiry, CAST(l_shipdate AS DATE) AS performance_end, CAST(50 + l_partkey % 100 AS DOUBLE) AS earned_pct
+FROM {lineitem}"""
+
+VIEWS["company_prices"] = """
+SELECT company_id, day, CAST(20 + (company_id * 7 + day_no) % 80 AS BIGINT) AS price FROM (
+  SELECT DISTINCT company_id, day, CAST(year(day) * 372 + month(day) * 31 + day(day) AS BIGINT) AS day_no FROM (
+    SELECT company_id, vest_date AS day FROM tranches UNION ALL SELECT s_suppkey, CAST('1996-12-31' AS DATE) FROM {supplier} UNION ALL SELECT s_suppkey, CAST('1997-12-31' AS DATE) FROM {supplier} UNION ALL SELECT s_suppkey, CAST('1998-12-31' AS DATE) FROM {supplier}
+    UNION ALL SELECT s_suppkey, CAST('1999-12-31' AS DATE) FROM {supplier} UNION ALL SELECT s_suppkey, CAST('2000-12-31' AS DATE) FROM {supplier}) d) x"""
+
+VIEWS["officer_pay"] = """
+SELECT company_id, neo_id, neo_id % 10 = 0 AS is_peo, y AS fy, CAST(1000000 + neo_id * 100 + y AS BIGINT) AS total, CAST(400000 + neo_id AS BIGINT) AS stock_awards, CAST(100000 + y AS BIGINT) AS option_awards
+FROM (SELECT DISTINCT company_id, neo_id FROM tranches) n CROSS JOIN (SELECT CAST(1997 AS INT) AS y UNION ALL SELECT 1998 UNION ALL SELECT 1999 UNION ALL SELECT 2000) ys"""
+
+VIEWS["officer_pension"] = "SELECT company_id, neo_id, fy, CAST(neo_id % 7 * 100 + fy % 10 - 30 AS DOUBLE) AS pension FROM officer_pay WHERE neo_id % 3 = 1"
+
 _NAMES = {k: re.compile(rf"\b{k}\b") for k in VIEWS}
 
 
