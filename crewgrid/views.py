@@ -282,6 +282,11 @@ FROM (SELECT DISTINCT company_id, neo_id FROM tranches) n CROSS JOIN (SELECT CAS
 
 VIEWS["officer_pension"] = "SELECT company_id, neo_id, fy, CAST(neo_id % 7 * 100 + fy % 10 - 30 AS DOUBLE) AS pension FROM officer_pay WHERE neo_id % 3 = 1"
 
+VIEWS["pay_rows"] = """
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS STRING)) AS doc_id, l_partkey AS k, concat('Officer ', CAST(l_suppkey AS STRING)) AS title,
+  CAST(floor(l_extendedprice) AS BIGINT) AS salary, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS bonus, CAST(l_quantity * 1000 AS BIGINT) AS stock_awards, CAST(l_linenumber * 500 AS BIGINT) AS option_awards,
+  CAST(floor(l_extendedprice * l_tax) AS BIGINT) AS non_equity_incentive, CAST(l_orderkey % 900 AS BIGINT) AS other_comp FROM {lineitem}"""
+
 _NAMES = {k: re.compile(rf"\b{k}\b") for k in VIEWS}
 
 
@@ -310,6 +315,8 @@ def with_clause(names):
 
 def oracle(names, body):
     """One self-contained SQL statement over the plain table names."""
+    if not names:
+        return body.strip()
     text = with_clause(names)
     for t in BASE:
         text = text.replace("{" + t + "}", t)
