@@ -86,9 +86,9 @@ add("ledger_approver_pool", lambda s, d: lg.approver_pool(view(s, d, "scopes"),
 add("ledger_membership_rules", lambda s, d: lg.membership_rules(rows(s, d), view(s, d, "channel_members"), view(s, d, "actors")), EV + ["channel_members"],
     """SELECT 'not_a_member' AS rule, ledger_id, CAST(event_id AS VARCHAR) AS key FROM ledger_rows e WHERE NOT EXISTS (SELECT 1 FROM channel_members m WHERE m.actor_id = e.actor_id AND m.channel = e.channel)
 UNION ALL SELECT 'spoofed_kind', ledger_id, CAST(event_id AS VARCHAR) FROM ledger_rows e JOIN actors a ON a.actor_id = e.actor_id WHERE a.kind <> e.actor_kind""")
-add("ledger_approval_rules", lambda s, d: lg.approval_rules(entitled(s, d)), EV, ENT + """, ev AS (SELECT *, reason = 'holds role' AS can, auth IS NOT NULL AS aok, row_number() OVER (PARTITION BY ledger_id, correlation_id ORDER BY position) AS rn FROM ent),
-st AS (WITH RECURSIVE f(ledger_id, correlation_id, rn, event_id, v, pe, ps, pa, pok, ae, asc_, aa, cons) AS (
-  SELECT ledger_id, correlation_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST([] AS BIGINT[]) FROM (SELECT DISTINCT ledger_id, correlation_id FROM ev)
+FOLD = ENT + """, ev AS (SELECT *, reason = 'holds role' AS can, auth IS NOT NULL AS aok, row_number() OVER (PARTITION BY ledger_id, correlation_id ORDER BY position) AS rn FROM ent),
+st AS (WITH RECURSIVE f(ledger_id, correlation_id, rn, event_id, v, pe, ps, pa, pok, ae, asc_, aa, cons, cz) AS (
+  SELECT ledger_id, correlation_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT ledger_id, correlation_id FROM ev)
   UNION ALL SELECT e.ledger_id, e.correlation_id, e.rn, e.event_id,
     list_filter(CASE WHEN e.type = 'approval' THEN [
       CASE WHEN f.pe IS NULL OR e.causation_id IS DISTINCT FROM f.pe THEN 'approval_unbound' WHEN f.ps IS DISTINCT FROM e.eff THEN 'approval_scope_pivot' WHEN NOT (f.pok AND e.aok AND f.pa = e.auth) THEN 'approval_substituted' END,
@@ -99,12 +99,18 @@ st AS (WITH RECURSIVE f(ledger_id, correlation_id, rn, event_id, v, pe, ps, pa,
     CASE WHEN e.type = 'recommendation' AND e.requires_approval THEN e.event_id ELSE f.pe END, CASE WHEN e.type = 'recommendation' AND e.requires_approval THEN e.scope ELSE f.ps END,
     CASE WHEN e.type = 'recommendation' AND e.requires_approval THEN e.auth ELSE f.pa END, CASE WHEN e.type = 'recommendation' AND e.requires_approval THEN e.aok ELSE f.pok END,
     CASE WHEN g.ok THEN e.event_id WHEN g.off THEN NULL ELSE f.ae END, CASE WHEN g.ok THEN e.eff WHEN g.off THEN NULL ELSE f.asc_ END, CASE WHEN g.ok THEN e.auth WHEN g.off THEN NULL ELSE f.aa END,
-    CASE WHEN g.used THEN list_append(f.cons, f.ae) ELSE f.cons END
+    CASE WHEN g.used THEN list_append(f.cons, f.ae) ELSE f.cons END, CASE WHEN g.used THEN f.ae END
   FROM f JOIN ev e ON e.ledger_id = f.ledger_id AND e.correlation_id IS NOT DISTINCT FROM f.correlation_id AND e.rn = f.rn + 1,
   LATERAL (SELECT coalesce(e.type = 'approval' AND e.decision = 'approved' AND e.can AND f.pe IS NOT NULL AND e.causation_id = f.pe AND f.ps IS NOT DISTINCT FROM e.eff AND f.pok AND e.aok AND f.pa = e.auth, false) AS ok,
     coalesce((e.type = 'approval' AND e.decision = 'denied') OR (e.type = 'action' AND f.ae IS NOT NULL AND e.causation_id = f.ae AND e.scope IS NOT DISTINCT FROM f.asc_ AND e.aok AND f.aa = e.auth), false) AS off,
     coalesce(e.type = 'action' AND f.ae IS NOT NULL AND e.causation_id = f.ae AND e.scope IS NOT DISTINCT FROM f.asc_ AND e.aok AND f.aa = e.auth, false) AS used) g) SELECT * FROM f)
-SELECT unnest(v) AS rule, ledger_id, CAST(event_id AS VARCHAR) AS key FROM st WHERE rn > 0""")
+"""
+# within one thread; a stream keeps one state per thread and reports the same
+THREAD_RULES = FOLD + "SELECT unnest(v) AS rule, ledger_id, CAST(event_id AS VARCHAR) AS key FROM st WHERE rn > 0"
+# an approval consumed in another thread of the ledger is a replay too
+LEDGER_RULES = FOLD + """, r AS (SELECT unnest(v) AS rule, ledger_id, event_id FROM st WHERE rn > 0), used AS (SELECT ledger_id, event_id AS at_event, cz FROM st WHERE cz IS NOT NULL)
+SELECT CASE WHEN r.rule = 'action_ungated' AND EXISTS (SELECT 1 FROM used u JOIN ent e ON e.event_id = r.event_id WHERE u.ledger_id = r.ledger_id AND u.cz = e.causation_id AND u.at_event < r.event_id) THEN 'action_replay' ELSE r.rule END AS rule, r.ledger_id, CAST(r.event_id AS VARCHAR) AS key FROM r"""
+add("ledger_approval_rules", lambda s, d: lg.approval_rules(entitled(s, d)), EV, LEDGER_RULES)
 
 # ---- lineage
 E = ["support_edges", "claims"]

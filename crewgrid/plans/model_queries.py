@@ -72,7 +72,7 @@ t AS (SELECT * FROM sall WHERE month_index > 29)
 P = ["panel"]
 add("hazard_panel_design", lambda s, d: hz.design(view(s, d, "panel"), FEATURES, NULLABLE)[0].groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"), F.sum("order_trend__missing").cast("bigint").alias("missing")), P,
     "SELECT CASE WHEN month_index <= 23 THEN 'train' WHEN month_index <= 29 THEN 'calibration' ELSE 'test' END AS part, count(*) AS n, count(*) FILTER (WHERE event_next = 'voluntary') AS events, count(*) FILTER (WHERE order_trend IS NULL) AS missing FROM panel GROUP BY 1")
-add("hazard_scores", lambda s, d: scored(s, d).select("row_id", F.bround("score", 7).alias("score"), F.bround("p", 7).alias("p")), P, HZ + "SELECT row_id, round_even(score, 7) AS score, round_even(p, 7) AS p FROM t")
+add("hazard_scores", lambda s, d: scored(s, d).select("row_id", "score", "p"), P, HZ + "SELECT row_id, score, p FROM t")
 add("hazard_ranking_quality", lambda s, d: hz.ranking_quality(scored(s, d)).select("n_rows", *[F.bround(c, 8).alias(c) for c in ("roc_auc", "pr_auc", "base_rate")]), P, HZ + """, b AS (SELECT score, count(*) AS n, sum(y) AS pos FROM t GROUP BY 1),
 c AS (SELECT *, sum(n) OVER (ORDER BY score) - n AS bn, sum(n) OVER () AS tn, sum(pos) OVER () AS tp, sum(pos) OVER (ORDER BY score DESC) AS cp, sum(n) OVER (ORDER BY score DESC) AS cn FROM b)
 SELECT CAST(max(tn) AS BIGINT) AS n_rows, round_even((sum(pos * (bn + (n + 1) / 2.0::DOUBLE)) - max(tp) * (max(tp) + 1) / 2.0::DOUBLE) / (max(tp) * (max(tn) - max(tp))), 8) AS roc_auc, round_even(sum(pos * (cp / cn)) / max(tp), 8) AS pr_auc, round_even(max(tp) / max(tn), 8) AS base_rate FROM c""")
