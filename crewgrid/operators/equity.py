@@ -66,16 +66,29 @@ def cumulative_expense(at, digits=6):
 
 
 def expense_by_quarter(book):
-    """Quarterly expense against revenue.  Each grant meets the literal quarter
-    list, so the only shuffle carries one partial sum per task and quarter.
-    Rounded grant amounts are added as decimals: the result does not depend on task order."""
+    """Quarterly expense against revenue.
+
+    Cumulative expense is summed per quarter end and only then differenced, so a
+    grant is evaluated once per date.  What depends on the grant alone is computed
+    before the dates are attached.  Amounts are whole millionths, summed as
+    dollars and millionths apart: exact, independent of task order, no overflow."""
     qs = book.quarters()
     first = qs[0]
     seed = dt.date(first.year, (first.month - 1) // 3 * 3 + 1, 1) - dt.timedelta(days=1)
-    steps = F.array(*[F.struct(day(b).alias("period_end"), day(a).alias("before")) for a, b in zip([seed] + qs, qs)])
-    x = book.grants.select("*", F.inline(steps))
-    step = cumulative_expense(F.col("period_end")) - cumulative_expense(F.col("before"))
-    q = x.groupBy("period_end").agg(F.sum(step.cast("decimal(38,6)")).alias("_s"))
+    dates = F.array(*[F.struct(F.lit(k).alias("k"), day(d).alias("at"), F.lit(d.year * 12 + d.month).alias("m"), F.lit(d.day).alias("d")) for k, d in enumerate([seed] + qs)])
+    start = F.col("vest_start_date")
+    g = book.grants.select(
+        "vest_start_date", "term_date", "vest_months_total", F.col("fair_value").cast("double").alias("fv"), (F.year(start) * 12 + F.month(start)).alias("sm"), F.day(start).alias("sd"),
+        (F.coalesce(vested_fraction(F.col("term_date")), F.lit(0.0)) * F.col("fair_value")).alias("settled"))
+    x = g.select("*", F.inline(dates))
+    served = F.greatest(F.lit(0), F.col("m") - F.col("sm") - F.when(F.col("d") < F.col("sd"), 1).otherwise(0))
+    running = F.least(F.lit(1.0), served / F.col("vest_months_total")) * F.col("fv")
+    value = F.when(F.col("at") < start, 0.0).when(gone_by(F.col("at")), F.col("settled")).otherwise(running)
+    x = x.select("k", "at", F.rint(value * 1e6).cast("bigint").alias("u"))
+    q = x.groupBy("k", "at").agg(F.sum(F.expr("u div 1000000")).alias("usd"), F.sum(F.col("u") % 1000000).alias("micro"))
+    total = F.col("usd").cast("decimal(28,6)") + F.col("micro").cast("decimal(28,6)") / 1000000
+    w = Window.partitionBy(F.lit(0)).orderBy("k")  # one row per quarter
+    q = q.withColumn("_t", total).withColumn("_s", F.col("_t") - F.lag("_t").over(w)).where("k > 0").withColumnRenamed("at", "period_end")
     rev = book.financials.select("period_end", "revenue_usd")
     q = q.join(rev, "period_end").withColumn("sbc", half_even("_s", 2))
     return q.select("period_end", "sbc", F.col("revenue_usd").alias("revenue"), half_even(F.col("sbc") / F.col("revenue_usd") * 100, 2).alias("pct"))
