@@ -210,15 +210,16 @@ def fair_values(tranches, needed, prices, market, psu_values=None):
 COMPONENTS = ["new_at_year_end", "prior_unvested", "vest_new", "vest_prior", "forfeited"]
 
 
-def cap_bridge(sct, terms, values, pension=None, dividends=None):
-    """Reported total to compensation actually paid, per officer and year."""
-    v = terms.join(values, ["company_id", "tranche_id", "at"]).groupBy("company_id", "neo_id", "fy").pivot("component", COMPONENTS).agg(F.sum(F.col("sign") * F.col("fair_value")))
+def cap_bridge(sct, terms, values, pension=None, dividends=None, digits=2):
+    """Reported total to compensation actually paid, per officer and year.
+    Values are added as decimals, so the result does not depend on task order."""
+    v = terms.join(values, ["company_id", "tranche_id", "at"]).groupBy("company_id", "neo_id", "fy").pivot("component", COMPONENTS).agg(F.sum((F.col("sign") * F.col("fair_value")).cast("decimal(28,6)")).cast("double"))
     x = sct.join(v, ["company_id", "neo_id", "fy"], "left")
     for f, name in ((pension, "pension"), (dividends, "dividends")):
         x = x.withColumn(name, F.lit(0.0)) if f is None else x.join(f, ["company_id", "neo_id", "fy"], "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     equity = -(F.col("stock_awards") + F.col("option_awards")) + sum((z(c) for c in COMPONENTS), F.lit(0.0)) + z("dividends")
-    r = lambda e: half_even(e, 2)
+    r = lambda e: half_even(e, digits)
     return x.select("company_id", "neo_id", "is_peo", "fy", r(F.col("total")).alias("sct_total"), r(-(F.col("stock_awards") + F.col("option_awards"))).alias("less_sct_equity"), *[r(z(c)).alias(c) for c in COMPONENTS],
                     r(z("dividends")).alias("dividends"), r(z("pension")).alias("pension"), r(equity).alias("equity_adjustment"), r(F.col("total") + equity + z("pension")).alias("cap"))
 
@@ -234,12 +235,12 @@ def company_return(prices, calendar, base):
     return prices.join(F.broadcast(calendar.select("fy", F.col("ye").alias("day"))), "day").join(b, "company_id").select("company_id", "fy", half_even(100.0 * F.col("price") / F.col("_b"), 2).alias("company_tsr_value"))
 
 
-def pvp_table(bridge, returns):
+def pvp_table(bridge, returns, digits=2):
     """Principal officer and average of the others per year, beside the company's return."""
     peo = F.col("is_peo")
     g = bridge.groupBy("company_id", "fy").agg(
         F.max(F.when(peo, F.col("sct_total"))).alias("peo_sct_total"), F.max(F.when(peo, F.col("cap"))).alias("peo_cap"),
-        half_even(F.avg(F.when(~peo, F.col("sct_total"))), 2).alias("avg_other_sct_total"), half_even(F.avg(F.when(~peo, F.col("cap"))), 2).alias("avg_other_cap"))
+        half_even(F.avg(F.when(~peo, F.col("sct_total"))), digits).alias("avg_other_sct_total"), half_even(F.avg(F.when(~peo, F.col("cap"))), digits).alias("avg_other_cap"))
     return g.join(returns, ["company_id", "fy"], "left")
 
 

@@ -53,11 +53,11 @@ def _parts(s, d, vol=0.0):
 
 def bridge(s, d, vol=0.0):
     t, cal, terms, prices, values = _parts(s, d, vol)
-    return vl.cap_bridge(view(s, d, "officer_pay"), terms, values, view(s, d, "officer_pension"))
+    return vl.cap_bridge(view(s, d, "officer_pay"), terms, values, view(s, d, "officer_pension"), digits=6)
 
 
 def table_(s, d):
-    return vl.pvp_table(bridge(s, d), vl.company_return(view(s, d, "company_prices"), vl.fiscal_calendar(s, YEARS), "1996-12-31"))
+    return vl.pvp_table(bridge(s, d), vl.company_return(view(s, d, "company_prices"), vl.fiscal_calendar(s, YEARS), "1996-12-31"), digits=6)
 
 
 PV = ["tranches", "company_prices", "officer_pay", "officer_pension"]
@@ -69,12 +69,12 @@ tm AS (SELECT *, 'forfeited' AS comp, pye AS m, -1 AS sg FROM x WHERE lost AND N
   UNION ALL SELECT *, 'prior_unvested', ye, 1 FROM x WHERE NOT vested AND NOT lost AND vest_date > ye AND NOT isnew UNION ALL SELECT *, 'prior_unvested', pye, -1 FROM x WHERE NOT vested AND NOT lost AND vest_date > ye AND NOT isnew),
 fv AS (SELECT tm.company_id, neo_id, fy, comp, tm.tranche_id, tm.m, sg, round_even(shares * CASE type WHEN 'rsu' THEN price::DOUBLE WHEN 'psu_rtsr' THEN price * earned_pct / 100 ELSE round_even(CASE WHEN expiry <= tm.m THEN greatest(0, price - strike)::DOUBLE
     ELSE greatest(0, price * exp(-0.01::DOUBLE * ((expiry - tm.m) / 365.0::DOUBLE)) - strike * exp(-0.04::DOUBLE * ((expiry - tm.m) / 365.0::DOUBLE))) END, 6) END, 6) AS v FROM tm JOIN company_prices p ON p.company_id = tm.company_id AND p.day = tm.m),
-cp AS (SELECT company_id, neo_id, fy, """ + ", ".join(f"coalesce(sum(sg * v) FILTER (WHERE comp = '{c}'), 0) AS {c}" for c in vl.COMPONENTS) + """ FROM fv GROUP BY 1, 2, 3),
+cp AS (SELECT company_id, neo_id, fy, """ + ", ".join(f"coalesce(CAST(sum(CAST(sg * v AS DECIMAL(28, 6))) FILTER (WHERE comp = '{c}') AS DOUBLE), 0) AS {c}" for c in vl.COMPONENTS) + """ FROM fv GROUP BY 1, 2, 3),
 br0 AS (SELECT o.*, """ + ", ".join(f"coalesce(cp.{c}, 0) AS {c}" for c in vl.COMPONENTS) + """, coalesce(p.pension, 0) AS pension FROM officer_pay o LEFT JOIN cp ON o.neo_id = cp.neo_id AND o.company_id = cp.company_id AND o.fy = cp.fy LEFT JOIN officer_pension p ON p.neo_id = o.neo_id AND p.company_id = o.company_id AND p.fy = o.fy),
-br AS (SELECT company_id, neo_id, is_peo, fy, total::DOUBLE AS sct_total, -(stock_awards + option_awards)::DOUBLE AS less_sct_equity, """ + ", ".join(f"round_even({c}, 2) AS {c}" for c in vl.COMPONENTS) + """, 0.0::DOUBLE AS dividends, pension,
-  round_even(-(stock_awards + option_awards) + """ + " + ".join(vl.COMPONENTS) + """, 2) AS equity_adjustment, round_even(total - (stock_awards + option_awards) + """ + " + ".join(vl.COMPONENTS) + """ + pension, 2) AS cap FROM br0),
+br AS (SELECT company_id, neo_id, is_peo, fy, total::DOUBLE AS sct_total, -(stock_awards + option_awards)::DOUBLE AS less_sct_equity, """ + ", ".join(f"round_even({c}, 6) AS {c}" for c in vl.COMPONENTS) + """, 0.0::DOUBLE AS dividends, pension,
+  round_even(-(stock_awards + option_awards) + """ + " + ".join(vl.COMPONENTS) + """, 6) AS equity_adjustment, round_even(total - (stock_awards + option_awards) + """ + " + ".join(vl.COMPONENTS) + """ + pension, 6) AS cap FROM br0),
 ct AS (SELECT e.company_id, year(e.day) AS fy, round_even(100.0::DOUBLE * e.price / b.price, 2) AS company_tsr_value FROM company_prices e JOIN company_prices b ON b.company_id = e.company_id AND b.day = DATE '1996-12-31' WHERE e.day IN (SELECT ye FROM cal)),
-pt AS (SELECT br.company_id, br.fy, max(sct_total) FILTER (WHERE is_peo) AS peo_sct_total, max(cap) FILTER (WHERE is_peo) AS peo_cap, round_even(avg(sct_total) FILTER (WHERE NOT is_peo), 2) AS avg_other_sct_total, round_even(avg(cap) FILTER (WHERE NOT is_peo), 2) AS avg_other_cap, any_value(company_tsr_value) AS company_tsr_value
+pt AS (SELECT br.company_id, br.fy, max(sct_total) FILTER (WHERE is_peo) AS peo_sct_total, max(cap) FILTER (WHERE is_peo) AS peo_cap, round_even(avg(sct_total) FILTER (WHERE NOT is_peo), 6) AS avg_other_sct_total, round_even(avg(cap) FILTER (WHERE NOT is_peo), 6) AS avg_other_cap, any_value(company_tsr_value) AS company_tsr_value
   FROM br LEFT JOIN ct ON ct.company_id = br.company_id AND ct.fy = br.fy GROUP BY 1, 2)
 """
 add("pvp_fair_values", lambda s, d: _parts(s, d)[4], PV, PQ + 'SELECT DISTINCT company_id, tranche_id, m AS "at", v AS fair_value FROM fv')

@@ -62,7 +62,7 @@ def notes(spark, path, root=""):
     source = F.regexp_replace(F.regexp_replace(F.col("path"), f"^.*?{root}/", ""), r"\.md$", "")
     m = front_matter(F.col("text"))
     return t.select("text", source.alias("source"), m.alias("front"), F.lit(True).alias("loaded_from_disk"), m["topic"].alias("topic"), m["status"].alias("status"), m["content_type"].alias("content_type"),
-                    F.coalesce(m["last_reviewed"], m["last-reviewed"]).alias("last_reviewed"), F.trim(F.regexp_replace("text", r"(?s)^---\n.*?\n---", "")).alias("statement"))
+                    F.coalesce(m["last_reviewed"], m["last-reviewed"]).alias("last_reviewed"), F.regexp_replace(F.regexp_replace("text", r"(?s)^---\n.*?\n---", ""), r"^\s+|\s+$", "").alias("statement"))
 
 
 METRIC = "id string, name string, domain string, unit string, metric_class string, formula string, allowed_actions array<string>, forbidden_actions array<string>, params map<string,double>"

@@ -77,10 +77,11 @@ HTML = """<table><tr><td>x</td></tr></table><div style="display: none"><table><t
 
 def test_pay_table_from_html(spark):
     rows = px.rows_from_html(spark.createDataFrame([("d", HTML), ("e", "<p>none</p>")], "doc_id string, html string"))
-    x = px.extract(px.clean_rows(rows), px.headers(rows)).orderBy("row_no").collect()
+    table = px.extract(px.clean_rows(rows), px.headers(rows))
+    x = table.orderBy("row_no").collect()
     assert [(r["kind"], r["name"], r["year"], r["total"], r["reconciled"]) for r in x] == [
         ("full", "Ann Lee, CEO", 2025, 150.0, True), ("continuation", "Ann Lee, CEO", 2024, 140.0, True), ("partial", "Bo Day", 2025, 100.0, True), ("full", "Cy Fox", 2025, 999.0, False)]
-    s = px.select_table(px.confidence(spark.createDataFrame(x), rows)).first()
+    s = px.select_table(px.confidence(table, rows)).first()
     assert s["found"] and s["band"] in ("medium", "low")
 
 
