@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import contamination
+from crewgrid.llm import chat, contamination, pieces, quality
 
 QUERIES = {
     "op7_decontamination": contamination.op7_decontamination,
+    "op8_chat": chat.op8_chat,
+    "op9_quality": quality.op9_quality,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 ORACLES = {
     "op7_decontamination": contamination.SQL,
+    "op8_chat": chat.SQL,
 }
