@@ -29,9 +29,9 @@ RUN = 8
 class Bands:
     """(bytes from, lowest ratio, highest ratio) by length; below the first length no ratio is judged."""
 
-    whole: tuple = ((150, 0.95, 4.0), (400, 1.15, 5.0), (1_000, 1.25, 5.5), (4_000, 1.4, 6.5), (16_000, 1.5, 8.0), (64_000, 1.5, 9.0))
+    whole: tuple = ((150, 1.0, 2.6), (400, 1.2, 2.8), (1_000, 1.35, 3.0), (4_000, 1.5, 3.2), (16_000, 1.6, 3.4), (64_000, 1.6, 3.6))
     chunk_bytes: int = 4096
-    chunk: tuple = (1.2, 7.0)
+    chunk: tuple = (1.4, 3.4)
     chunk_share: float = 0.5
     level: int = 3
 
@@ -48,8 +48,8 @@ def _verdict(text, bands, squeeze):
     return ratio, share, low <= ratio <= high and share <= bands.chunk_share
 
 
-def _distinct_in_docs(h, doc):
-    """Number of distinct values per document."""
+def _keyed(h, doc):
+    """Values made distinct between documents."""
     return X.mix(h ^ X.mix(doc.astype(np.uint64)))
 
 
@@ -66,14 +66,13 @@ def _counts(data, offs):
     full = words_before[line_to] > words_before[line_from]
     line_from, line_to = line_from[full], line_to[full]
     doc = np.searchsorted(offs, line_from, "right") - 1
-    key = np.sort(_distinct_in_docs(X.run_hashes(data, line_from, line_to), doc))
-    first = np.unique(_distinct_in_docs(X.run_hashes(data, line_from, line_to), doc), return_index=True)[1] if len(key) else np.zeros(0, np.int64)
+    first = np.unique(_keyed(X.run_hashes(data, line_from, line_to), doc), return_index=True)[1]
     out["n_dup_lines"] = np.bincount(doc, minlength=n) - np.bincount(doc[first], minlength=n)
     # words covered by a window of RUN words that occurs twice in its document
     h = X.window_hashes(X.run_hashes(data, starts, ends), RUN)
     word_doc = np.repeat(np.arange(n), hi - lo)
     whole = np.flatnonzero(np.arange(len(h)) + RUN <= hi[word_doc[:len(h)]])
-    key = _distinct_in_docs(h[whole], word_doc[whole])
+    key = _keyed(h[whole], word_doc[whole])
     order = np.argsort(key, kind="stable")
     same = key[order][1:] == key[order][:-1]
     twice = np.append(False, same) | np.append(same, False)

@@ -157,3 +157,4 @@ def read(spark, sf_dir, name):
 def hash_bucket(col, n):
     """crc32 of a key's text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
+
