@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import chat, contamination, pieces, quality
+from crewgrid.llm import chat, contamination, pieces, quality, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_chat": chat.op8_chat,
     "op9_quality": quality.op9_quality,
