@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import chat, contamination, pieces, quality, toxicity
+from crewgrid.llm import chat, contamination, pieces, quality, secrets, toxicity
 
 QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_chat": chat.op8_chat,
