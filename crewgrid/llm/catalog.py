@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import chat, contamination, mincut, pieces, quality, secrets, toxicity
+from crewgrid.llm import chat, contamination, mincut, neardup, pieces, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_neardup": neardup.op2_neardup,
     "op3_extraction": mincut.op3_extraction,
     "op4_secrets": secrets.op4_secrets,
     "op6_toxicity": toxicity.op6_toxicity,
