@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import chat, contamination, mincut, neardup, pieces, quality, secrets, toxicity
+from crewgrid.llm import chat, contamination, mincut, neardup, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
     "op2_neardup": neardup.op2_neardup,
     "op3_extraction": mincut.op3_extraction,
     "op4_secrets": secrets.op4_secrets,
+    "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_chat": chat.op8_chat,
