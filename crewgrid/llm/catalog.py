@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import chat, contamination, mincut, neardup, pieces, quality, secrets, suffixes, toxicity
+from crewgrid.llm import chat, contamination, mincut, mixing, neardup, pieces, quality, secrets, suffixes, toxicity
 
 QUERIES = {
+    "op1_scoring": mixing.op1_scoring,
     "op2_neardup": neardup.op2_neardup,
     "op3_extraction": mincut.op3_extraction,
     "op4_secrets": secrets.op4_secrets,
