@@ -240,6 +240,24 @@ def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
     return classed.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select("id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
 
 
+def one_of_each(docs, columns, id_col="doc_id", text_col="text", similarity=SIMILARITY):
+    """The rows of docs (columns only) that lead their near-duplicate group, one row an id; rows with a null id stay.  A bit
+    table of the ids that go or are repeated keeps all other rows where they are."""
+    groups = near_groups(docs, id_col, text_col, similarity)
+    drop = groups.where("id <> group_id").select("id", F.lit(True).alias("gone"))
+    again = docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 AND id IS NOT NULL").select("id", F.lit(False).alias("gone"))
+    listed = X.written(docs.sparkSession, drop.union(again).groupBy("id").agg(F.max("gone").alias("gone")), "listed")
+    rows = docs.select(*columns)
+    words = listed.selectExpr("shiftright(pmod(xxhash64(id), 16777216L), 6) AS word", "shiftleft(1L, cast(pmod(xxhash64(id), 64L) AS int)) AS mask").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask"))
+    marked = rows.join(F.broadcast(words), F.expr(f"shiftright(pmod(xxhash64(`{id_col}`), 16777216L), 6) = word"), "left")
+    near = F.expr(f"`{id_col}` IS NOT NULL AND coalesce((shiftright(mask, cast(pmod(xxhash64(`{id_col}`), 64L) AS int)) & 1L) = 1, false)")
+    flagged = marked.withColumn("near", near).drop("word", "mask")
+    held = flagged.where("near").drop("near").join(listed.withColumnRenamed("id", id_col), id_col, "left").where("gone IS NULL OR NOT gone")
+    rest = [c for c in columns if c != id_col]
+    single = held.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("row")).select(id_col, *[F.col(f"row.{c}").alias(c) for c in rest])
+    return flagged.where("NOT near").select(*columns).unionByName(single.select(*columns))
+
+
 def op2_neardup(spark, sf_dir):
     docs = X.read(spark, sf_dir, "documents")
     groups = near_groups(docs)

@@ -109,7 +109,7 @@ class Pieces:
 
 
 def encode(docs, id_cols=("doc_id",), text_col="text", model=MODEL):
-    """Per row: its id columns, ids (array<int>), n_pieces."""
+    """Per row: its id columns, ids (array<int>), n_pieces, and same: whether the ids decode to the text."""
     texts = X.plain_text(docs, id_cols, text_col)
     held, k = docs.sparkSession.sparkContext.broadcast(vocabulary(model)), len(id_cols)
 
@@ -118,10 +118,12 @@ def encode(docs, id_cols=("doc_id",), text_col="text", model=MODEL):
         for b in batches:
             for lo, hi, _, _ in X.pieces(b.column(k)):
                 part = b.slice(lo, hi - lo)
-                ids = [p.encode(t) for t in part.column(k).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], names=[*b.schema.names[:k], "ids", "n_pieces"])
+                texts_ = part.column(k).to_pylist()
+                ids = [p.encode(t) for t in texts_]
+                cols = [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array([p.decode(i) == t for i, t in zip(ids, texts_)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:k], *cols], names=[*b.schema.names[:k], "ids", "n_pieces", "same"])
 
-    return texts.mapInArrow(step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1]) + ", ids array<int>, n_pieces long")
+    return texts.mapInArrow(step, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema[:-1]) + ", ids array<int>, n_pieces long, same boolean")
 
 
 def decode(encoded, id_cols=("doc_id",), ids_col="ids", model=MODEL):

@@ -31,7 +31,7 @@ LENGTH, MARGIN, WIDTH, SEED = 400, 100, 200, 16
 FINER = 25
 CROWD = 20_000
 BLOCK = 4 << 20
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 PERIOD = 32
 INVERSE = np.uint64(pow(int(X.BASE), -1, 1 << 64))
 
