@@ -13,7 +13,7 @@ depend on them.
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 _INF = float("inf")
 
@@ -25,15 +25,29 @@ def split_points(df, value, parts=None):
     parts = max(1, min(parts, 2000))
     if parts == 1:
         return []
+    if not _measured(df, value):
+        # values without a measure: every k-th of a random sample, compared as they are
+        v = df.select(F.col(value).alias("v")).where("v is not null")
+        parts = min(parts, 200)
+        share = min(1.0, 40.0 * parts / max(1, v.count()))
+        got = sorted(r["v"] for r in v.sample(share, seed=7).limit(80 * parts).collect())
+        return sorted(set(got[len(got) // parts::max(1, len(got) // parts)])) if got else []
     v = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
     pts = v.approxQuantile("v", [i / parts for i in range(1, parts)], 0.5 / parts)
     return sorted(set(pts))
 
 
+def _measured(df, value):
+    return isinstance(df.schema[value].dataType, (T.NumericType, T.TimestampType, T.BooleanType))
+
+
 def add_range(df, value, splits, out="_range"):
     """Range number of a value; equal values always fall in the same range."""
     if not splits:
         return df.withColumn(out, F.lit(0.0))
+    if not _measured(df, value):
+        bounds = F.array(*[F.lit(s) for s in splits])
+        return df.withColumn(out, F.size(F.filter(bounds, lambda s: s <= F.col(value))).cast("double"))
     b = Bucketizer(splits=[-_INF, *splits, _INF], inputCol="_range_in", outputCol=out, handleInvalid="keep")
     return b.transform(df.withColumn("_range_in", F.col(value).cast("double"))).drop("_range_in")
 

@@ -34,17 +34,19 @@ def content(body="body", prev="prev_hash"):
 
 
 def verify_chain(events):
-    """Gaps, broken links and changed content.  Rows meet their predecessor on
+    """Gaps, forks, broken links and changed content.  Rows meet their predecessor on
     (ledger, sequence - 1), so one giant ledger spreads over all tasks."""
     e = events.select("ledger_id", "sequence", "event_id", "prev_hash", "event_hash", sha256(content()).alias("_want"))
-    prev = e.select("ledger_id", (F.col("sequence") + 1).alias("sequence"), F.col("event_hash").alias("_prev")).dropDuplicates(["ledger_id", "sequence"])
+    held = e.groupBy("ledger_id", "sequence").agg(F.min("event_hash").alias("_prev"), F.count(F.lit(1)).alias("_n"))  # of a forked place always the same row
+    prev = held.select("ledger_id", (F.col("sequence") + 1).alias("sequence"), "_prev")
+    forked = _hits(e.join(held.where("_n > 1").select("ledger_id", "sequence"), ["ledger_id", "sequence"], "left_semi"), "duplicate_sequence")
     j = e.join(prev, ["ledger_id", "sequence"], "left")
     expected = F.when(F.col("sequence") == 0, F.lit(GENESIS)).otherwise(F.col("_prev"))
     rules = F.array_compact(F.array(
         F.when((F.col("sequence") > 0) & F.col("_prev").isNull(), F.lit("sequence_gap")),
         F.when(~F.col("prev_hash").eqNullSafe(expected), F.lit("broken_chain")),
         F.when(F.col("event_hash") != F.col("_want"), F.lit("tampered"))))
-    return j.select(F.explode(rules).alias("rule"), "ledger_id", F.col("event_id").cast("string").alias("key"))
+    return j.select(F.explode(rules).alias("rule"), "ledger_id", F.col("event_id").cast("string").alias("key")).unionByName(forked)
 
 
 def duplicate_keys(events, column, rule):
@@ -201,7 +203,7 @@ def verify_anchor(events, anchors, min_counts=None):
 
 def open_guard(events, anchors):
     """A ledger may grow past its anchor but must still hold the anchored head at that height."""
-    at = events.select("ledger_id", (F.col("sequence") + 1).alias("count"), F.col("event_hash").alias("_h")).dropDuplicates(["ledger_id", "count"])
+    at = events.groupBy("ledger_id", (F.col("sequence") + 1).alias("count")).agg(F.min("event_hash").alias("_h"))
     a = anchors.select("ledger_id", "count", "head_hash").join(at, ["ledger_id", "count"], "left")
     want = F.when(F.col("count") == 0, F.lit(GENESIS)).otherwise(F.col("_h"))
     return a.select(F.explode(F.array_compact(F.array(

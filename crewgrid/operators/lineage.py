@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from crewgrid.functions.hashing import canonical_json, sha256
 from crewgrid.session import ensure_checkpoint_dir, scratch_folder
 
-MAX_ROUNDS = 10_000
-
 
 def _row(df, rule, key):
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
@@ -23,12 +21,13 @@ def _rounds(start, step):
     start.write.parquet(f"{path}/round=0")
     schema = start.schema
     read = lambda k: spark.read.schema(schema).parquet(*[f"{path}/round={i}" for i in k])
-    for k in range(1, MAX_ROUNDS):
+    k = 0
+    while True:
+        k += 1
         new = step(read([k - 1])).join(read(range(k)), start.columns, "left_anti")
         new.select(*start.columns).write.parquet(f"{path}/round={k}")
         if read([k]).isEmpty():
-            return read(range(k))
-    raise RuntimeError("no fixed point reached")
+            return read(range(k))  # every round adds rows, so this ends
 
 
 def grounded_claims(edges):
@@ -54,7 +53,7 @@ def cyclic_claims(edges):
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.where("target_kind = 'claim'").select(F.col("claim_id").alias("a"), F.col("target_id").alias("b")).distinct().checkpoint()
     n = e.count()
-    for _ in range(MAX_ROUNDS):
+    while True:
         starts, ends = e.select(F.col("a").alias("b")).distinct(), e.select(F.col("b").alias("a")).distinct()
         e = e.join(starts, "b", "left_semi").join(ends, "a", "left_semi").select("a", "b").checkpoint()
         left = e.count()

@@ -76,12 +76,15 @@ def eu_headline(screen):
     return screen.agg(F.count(F.lit(1)).alias("categories"), F.count_if("exceeds").alias("flagged"), F.count_if("median_watch").alias("median_watch"), (F.count_if("exceeds") > 0).alias("joint_assessment"))
 
 
-def _categories(df, col):
-    """Sorted category labels of a control; a control has few labels, which is checked."""
-    rows = df.select(col).distinct().limit(MAX_CATEGORIES + 1).collect()
-    if len(rows) > MAX_CATEGORIES:
-        raise ValueError(f"{col} has more than {MAX_CATEGORIES} categories; not a control")
-    return sorted(r[0] for r in rows if r[0] is not None)
+def _categories(df, cols, least=1):
+    """Sorted labels of each control that at least `least` people have, from one grouped count.  A control with more than
+    MAX_CATEGORIES labels is refused, never cut."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x")).select("x.c", "x.v").where("v is not null")
+    rows = pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).limit(MAX_CATEGORIES * len(cols) + 1).collect()
+    out = {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols}
+    if len(rows) > MAX_CATEGORIES * len(cols) or any(len(v) > MAX_CATEGORIES for v in out.values()):
+        raise ValueError(f"a control of {cols} has more than {MAX_CATEGORIES} categories")
+    return out
 
 
 def fit(pop, target, dummies, numeric):
@@ -129,7 +132,8 @@ def fit(pop, target, dummies, numeric):
 def adjusted(pop, key, reference, groups, z=1.96):
     """Like-for-like gap per group against the reference group, with its interval."""
     p = pop.where(F.col(key).isin(reference, *groups))
-    drop = lambda c, order=None: [v for v in (order or _categories(p, c)) if v in set(_categories(p, c))][1:]
+    have = _categories(p, ["level", "job_family", "location", "rating"])
+    drop = lambda c, order=None: [v for v in (order or have[c]) if v in have[c]][1:]
     dummies = {key: list(groups), "level": drop("level"), "job_family": drop("job_family"), "location": drop("location"), "rating": drop("rating", ["below", "meets", "exceeds", "outstanding"])}
     f = fit(p, "hourly", dummies, ["mgr", "tenure"])
     out = []
@@ -175,10 +179,7 @@ def adjusted_pay_gap(wf, min_people=30, min_side=10):
     n = pop.count()
     out = []
     if n >= min_people:
-        cats = {}
-        for c in ("level", "job_family", "location"):
-            few = pop.groupBy(c).agg(F.count(F.lit(1)).alias("k")).where("k >= 2").limit(MAX_CATEGORIES + 1).collect()
-            cats[c] = sorted(r[0] for r in few)[1:]
+        cats = {c: v[1:] for c, v in _categories(pop, ["level", "job_family", "location"], least=2).items()}
         for key in ("gender", "ethnicity"):
             side = {r[key]: r for r in pop.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.avg(F.ln(F.col("base_salary").cast("double"))).alias("m")).collect()}
             k1 = side["1"]["k"] if "1" in side else 0

@@ -9,6 +9,7 @@ from crewgrid.functions.ranking import quantiles
 from crewgrid.operators.population import day
 
 AGING_DAYS, STALE_DAYS, THIN_PIPELINE = 90, 14, 3
+# Age bands in days.
 AGE_BANDS = [("0-30", 0, 30), ("31-60", 31, 60), ("61-90", 61, 90), ("90+", 91, 10 ** 9)]
 
 
@@ -58,6 +59,7 @@ def requisition_concentration(flagged):
     return top(o.where(F.col("days_open") > AGING_DAYS), "department", "aged").unionByName(top(o.where(F.size("flags") > 0), "recruiter", "at_risk"))
 
 
+# Bands of pay over band midpoint.
 COMPA_BANDS = [("<0.80", 0, 0.7999), ("0.80-0.90", 0.80, 0.8999), ("0.90-1.10", 0.90, 1.10), ("1.10-1.20", 1.1001, 1.20), (">1.20", 1.2001, float("inf"))]
 
 

@@ -56,6 +56,7 @@ def report_counts(wf):
     return counts.join(ids, "manager_id", "left_semi")
 
 
+# Bands of direct reports.
 SPAN_BANDS = [("1-2", 1, 2), ("3", 3, 3), ("4-6", 4, 6), ("7-9", 7, 9), ("10-12", 10, 12), ("13+", 13, 1 << 30)]
 
 

@@ -136,7 +136,10 @@ def screen_universe(companies, years):
 
 
 # Columns that must never reach the panel.
-PROTECTED = ["gender", "sex", "race", "ethnicity", "age", "date_of_birth", "dob", "religion", "disability", "nationality", "marital_status", "pregnancy", "veteran_status", "gender_group", "ethnicity_group"]
+PROTECTED = ["gender", "sex", "race", "ethnicity", "age", "date_of_birth", "dob", "religion", "disability", "nationality", "marital_status", "pregnancy", "veteran_status", "gender_group", "ethnicity_group", "national_origin", "family_status"]
+# Columns close to surveillance, kept out as well.
+QUARANTINED = ["internal_app_activity", "internal_applications", "commute_change", "pto_anomaly", "overtime_trend", "work_model", "rto", "location_fine", "office_distance"]
+FORBIDDEN = PROTECTED + QUARANTINED
 EVENTS = ["none", "voluntary", "involuntary", "retirement"]
 
 
@@ -219,6 +222,7 @@ def price_coverage(companies, prices, n=30):
 
 # ---- lineage records
 
+# Forms of record ids, content hashes and time stamps.
 ID = r"^[a-z0-9][a-z0-9._:@/-]{0,159}$"
 HASH = r"^sha256:[0-9a-f]{64}$"
 
@@ -272,6 +276,7 @@ def caveats(t):
     return c.violations(t, "id", {"id_shape": _bad_id("id"), "severity_unknown": c.not_in("severity", ["info", "warning", "blocking"]), "text_line": _line("text", 1000)})
 
 
+# Fixed value.
 STAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
 

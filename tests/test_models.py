@@ -137,7 +137,11 @@ def test_hmac_and_canonical_json(spark):
 def test_text_helpers(spark):
     df = spark.createDataFrame([("call (212) 555-0100", ["phone"]), ("id 123-45-6789 x", ["ssn"]), ("a@badexample.com", ["email"]), ("a@sub.example.com", []), (None, [])], "t string, want array<string>")
     assert df.where(text.pii_hits("t") != F.col("want")).count() == 0
-    m = spark.createDataFrame([("$1,234", 1234.0, "ok"), ("(1,234)", -1234.0, "ok"), ("—", None, "empty"), ("", None, "empty"), ("about 5", None, "unparseable")], "t string, v double, f string")
+    m = spark.createDataFrame([
+        ("$1,234", 1234.0, "ok"), ("(1,234)", -1234.0, "ok"), ("—", None, "empty"), ("——", None, "empty"), ("", None, "empty"), (None, None, "empty"), ("$", None, "empty"), ("about 5", None, "unparseable"),
+        ("$650,000", 650000.0, "ok"), ("$0", 0.0, "ok"), ("(5)", -5.0, "ok"), ("$12,345 (3)", 12345.0, "ok"), ("1,234 (12)", 1234.0, "ok"), ("1,234 5", 1234.0, "ok"), ("12 [3]*", 12.0, "ok"),
+        ("$1,234,567.89", 1234567.89, "ok"), ("500,000 600,000", None, "unparseable"), ("1,234.56.78", None, "unparseable"), ("12-34", None, "unparseable"), ("1,234 restricted units", None, "unparseable"),
+    ], "t string, v double, f string")
     got = m.select("v", "f", text.parse_money("t").alias("p")).collect()
     assert all((r["p"]["value"], r["p"]["flag"]) == (r["v"], r["f"]) for r in got)
     v = spark.createDataFrame([(1234567.0, "$1.2M", True), (1234567.0, "$1.3M", False), (12.5, "12.5%", True), (12.5, "13", True), (12.5, "14", False), (-3.0, "n/a", False)], "v double, d string, ok boolean")

@@ -56,3 +56,19 @@ def test_tie_percentiles(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "v double")
     p = {r["v"]: r["p"] for r in rk.value_ranks(df, "v").withColumn("p", rk.average_rank_percentile()).collect()}
     assert p == {1.0: 0.0, 2.0: 50.0, 3.0: 100.0}
+
+
+def test_text_keys(spark):
+    """Row numbers and carried rows in the order of text, a hot key included."""
+    rows, df = frame(spark, 11)
+    names = {i: f"E-{i * 7919 % 1000:05d}" for i, _, _ in rows}
+    df = spark.createDataFrame([(names[i], k, v) for i, k, v in rows], "emp string, k string, v double")
+    for splits in (None, ["E-00200", "E-00500", "E-00900"]):
+        got = {r["emp"]: r["row_no"] for r in rk.row_numbers(df, "emp", ["k"], splits=splits).collect()}
+        for k in {k for _, k, _ in rows}:
+            order = sorted(names[i] for i, q, _ in rows if q == k)
+            assert [got[e] for e in order] == list(range(1, len(order) + 1))
+        last = {r["emp"]: r["last_seen"] for r in rk.carry_last(df, ["k"], "emp", F.col("v") == 7.0, ["v"], splits=splits).collect()}
+        for i, k, _ in rows:
+            before = [names[j] for j, q, v in rows if q == k and v == 7.0 and names[j] < names[i]]
+            assert (last[names[i]]["emp"] if last[names[i]] else None) == (max(before) if before else None)

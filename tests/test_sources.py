@@ -24,7 +24,9 @@ def test_csv_contract(spark, tmp_path):
     with pytest.raises(ct.ContractError):
         readers.csv(spark, str(p), cols[:-1])
     with pytest.raises(ct.ContractError):
-        ct.check_header(["emp_id", "Gender"], ["emp_id"], "min", forbidden=rs.PROTECTED)
+        ct.check_header(["emp_id", "Gender"], ["emp_id"], "min", forbidden=rs.FORBIDDEN)
+    with pytest.raises(ct.ContractError):
+        ct.check_header(["emp_id", "rto"], ["emp_id"], "min", forbidden=rs.FORBIDDEN)
     with pytest.raises(ct.ContractError):
         ct.check_header(["a", "A"], ["a"], "min")
 
@@ -85,6 +87,35 @@ def test_pay_table_from_html(spark):
     assert s["found"] and s["band"] in ("medium", "low")
 
 
+def cells(spark, html):
+    return [(r.table_no, r.cells) for r in px.rows_from_html(spark.createDataFrame([("d", html)], "doc_id string, html string")).collect()]
+
+
+@pytest.mark.parametrize("hide", ['<div aria-hidden="true">', '<div class="x Hidden">', '<div style="Visibility : hidden">', "<div hidden>", "<style>@media screen {.decoy, p {display: none}}</style><div class=decoy>"])
+def test_hidden_tables_are_not_read(spark, hide):
+    assert cells(spark, f"{hide}<table><tr><td>a</table></div><table><tr><td>b</td></tr></table>") == [(1, ["b"])]
+
+
+def test_cells_of_untidy_tables(spark):
+    assert cells(spark, "<table><tr><td>1,234<sup>5</sup><td>b<tr class=sr-only><td>c<tr><td colspan='2'>wide<td colspan=x>z") == [(0, ["1,234", "b"]), (0, ["wide", "", "z"])]
+    assert cells(spark, "<table><tr><td>out<table><tr><td>in</table>er</td></tr></table>") == [(1, ["in"]), (0, ["outer"])]
+
+
+def test_header_with_fillers_and_wide_rows(spark):
+    head = ["Name", "Year", "Sal\u00adary"] + [f"Note {k}" for k in range(1200)] + ["Total"]
+    rows = spark.createDataFrame([("d", 0, 0, head), ("d", 0, 1, ["Ann Lee", "2025", "5"] + ["x"] * 1200 + ["5"]), ("d", 0, 2, ["2024", "7"] + ["x"] * 1200 + ["7"])], "doc_id string, table_no int, row_no long, cells array<string>")
+    got = px.extract(px.clean_rows(rows), px.headers(rows)).orderBy("row_no").collect()
+    assert [(r.kind, r.name, r.year, r.total) for r in got] == [("full", "Ann Lee", 2025, 5.0), ("continuation", "Ann Lee", 2024, 7.0)]
+
+
+def test_year_order_looks_past_partial_rows(spark):
+    head = ["Name", "Year", "Salary", "Bonus", "Stock Awards", "Total"]
+    body = [["Ann Lee", "2024", "5", "1", "1", "7"], ["Ann Lee", "2020", "5", "2", "7"], ["2023", "5", "1", "1", "7"], ["2023", "5", "1", "1", "7"]]
+    rows = spark.createDataFrame([("d", 0, k, r) for k, r in enumerate([head, *body])], "doc_id string, table_no int, row_no long, cells array<string>")
+    got = px.extract(px.clean_rows(rows), px.headers(rows)).orderBy("row_no").collect()
+    assert [(r.kind, r.suspect) for r in got] == [("full", False), ("partial", False), ("continuation", False), ("continuation", True)]
+
+
 def test_filings(spark):
     sub = spark.createDataFrame([("c", ["6-K", "20-F", "DEF 14A"], ["0000000001-25-000001", "0000000001-25-000002", "bad"], ["a.htm", "%252e%252e%252fb.htm", "c.htm"], ["2025-03-01", "2025-01-01", "2025-02-01"])],
                                 "cik string, form array<string>, accession array<string>, document array<string>, date array<string>")
@@ -104,3 +135,10 @@ def test_registry():
     assert len(reg.METRICS) == 36 and len(reg.PENDING) == 36
     assert reg.compute("nope", None) == ("unknown_metric", None) and reg.compute("trir", None) == ("data_pending", None)
     assert reg.segment("headcount", None, "level")[0] == "no_segment" and set(reg.DOMAINS) == set(reg.METRICS)
+
+
+def test_forked_ledger_is_reported(spark):
+    from crewgrid.functions.hashing import sha256
+    e = spark.createDataFrame([(1, 0, 10, lg.GENESIS, "a"), (1, 0, 11, lg.GENESIS, "b")], "ledger_id long, sequence long, event_id long, prev_hash string, body string").withColumn("event_hash", sha256(lg.content()))
+    got = sorted((r["rule"], r["key"]) for r in lg.verify_chain(e).collect())
+    assert got == [("duplicate_sequence", "10"), ("duplicate_sequence", "11")]
