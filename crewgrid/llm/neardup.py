@@ -9,8 +9,8 @@ buckets as in Spark's HashingTF, so the broadcast table has a fixed size.
 3. Each class is paired with the leader of its buckets whose samples agree best, pairs are verified by exact weighted Jaccard
    similarity of the whole texts, and verified links are joined to components.
 4. In buckets that still hold several components, cross pairs are tested: all of them up to SMALL members; beyond that each
-   component's leader against the members of the others while there are up to SMALL components; beyond that the bucket is cut
-   finer by a further band.  A link inside a component adds nothing to the classes, so it is not tested again.
+   component's three leaders against the members of all but the largest one while there are up to SMALL components; beyond that
+   the bucket is cut finer by a further band.  A link inside a component adds nothing to the classes, so it is not tested again.
 No step emits all pairs of a large bucket, and a bucket's members meet only in grouped sums and in joins against a few leaders.
 Pairs whose samples agree in fewer than MATCHES places are dropped before their texts move (a similarity of 0.8 falls below
 that with probability 1e-5).
@@ -216,27 +216,32 @@ def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
     links = verified(spark, texts, best.select(F.col("x.a").alias("a"), "b"), idf, similarity).select("a", "b")
     # links between parts that are not yet joined
     level, open_rows = 1, members.select("key", "id", "band")
+    labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     while True:
-        labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         tagged = open_rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
         tagged = X.written(spark, tagged, "tagged")
         busy = tagged.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
-        parts = tagged.join(busy, "key").groupBy("key", "n", "label").agg(F.min("id").alias("lead"))
-        sizes = parts.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("c"))
+        parts = tagged.join(busy, "key").groupBy("key", "n", "label").agg(F.count("*").alias("m"))
+        sizes = parts.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("c"), F.max(F.struct("m", "label"))["label"].alias("hub"))
         tagged = X.written(spark, tagged.join(sizes, "key"), "busy")
         small, mid, large = tagged.where(F.col("n") <= SMALL), tagged.where((F.col("n") > SMALL) & (F.col("c") <= SMALL)), tagged.where((F.col("n") > SMALL) & (F.col("c") > SMALL))
         side = lambda df, c: df.select("key", F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
         pairs = side(small, "a").join(side(small, "b"), "key").where("a < b AND label_a <> label_b").select("a", "b")
-        leads = mid.groupBy("key", "label").agg(F.min("id").alias("a")).withColumnRenamed("label", "label_a")
-        pairs = pairs.union(leads.join(side(mid, "b"), "key").where("label_a <> label_b").select("a", "b")).distinct()
-        links = X.written(spark, links.union(verified(spark, texts, _alike(pairs, sigs), idf, similarity).select("a", "b")), "links")
+        other = mid.where("label <> hub")
+        leads = mid.groupBy("key", "label").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min_by("id", F.xxhash64("id", "key")).alias("y"))
+        leads = leads.select("key", F.col("label").alias("label_a"), F.explode(F.array_distinct(F.array("a", "y", "z"))).alias("a"))
+        pairs = pairs.union(leads.join(side(other, "b"), "key").where("label_a <> label_b").select("a", "b")).distinct()
+        likely = X.written(spark, _alike(pairs, sigs), "likely")
+        new = likely.limit(0) if likely.isEmpty() else verified(spark, texts, likely, idf, similarity)
+        if not new.isEmpty():
+            links = X.written(spark, links.union(new.select("a", "b")), "links")
+            labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         finer = large.select("key", "id", "band").join(found.select("id", F.col("band").alias("band2"), F.col("key").alias("key2")), "id").where("band2 > band" if level > 1 else "band2 <> band")
         finer = finer.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key") if level == 1 else F.xxhash64("key", "key2").alias("key"), "id", F.greatest("band", "band2").alias("band")).distinct()
         open_rows = X.written(spark, finer, "finer")
         level += 1
         if open_rows.isEmpty():
             break
-    labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return classed.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select("id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from crewgrid.session import scratch_folder
 
-PIECE = 1 << 21
+PIECE = 1 << 19
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NON_SPACE = ~SPACES
