@@ -422,7 +422,7 @@ def test_probabilities_add_up():
     """Over all continuations of a text by one symbol the probabilities sum to one."""
     code = mixing.Code(np.bincount([97, 97, 98, 32, 256, 256], minlength=257))
     tables = [((np.arange(n) * 37) % 41 - 20).astype(np.int8) for n in mixing.SLOTS]
-    scorer = mixing.Scorer(code, tables, np.full((mixing.DEPTHS, 5), 0.3, np.float32), mixing.Model())
+    scorer = mixing.Scorer(code, tables, np.full((mixing.DEPTHS, len(mixing.SLOTS)), 0.3, np.float32), mixing.Model())
     state = scorer.fresh(257)
     start = b"ab ba ab"
     sym = np.tile(np.append(np.frombuffer(start, np.uint8), 0).astype(np.uint16), 257)
