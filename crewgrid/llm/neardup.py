@@ -8,10 +8,12 @@ buckets as in Spark's HashingTF, so the broadcast table has a fixed size.
 2. Each class has ROWS x BANDS consistent weighted samples; classes that agree on a band of ROWS samples share a bucket.
 3. Each class is paired with the leader of its buckets whose samples agree best, pairs are verified by exact weighted Jaccard
    similarity of the whole texts, and verified links are joined to components.
-4. In buckets that still hold several components, cross pairs are tested: all of them up to SMALL members; beyond that each
-   component's three leaders against the members of all but the largest one while there are up to SMALL components; beyond that
-   the bucket is cut finer by a further band.  A link inside a component adds nothing to the classes, so it is not tested again.
-No step emits all pairs of a large bucket, and a bucket's members meet only in grouped sums and in joins against a few leaders.
+4. In buckets that still hold several components, all cross pairs are tested: up to SMALL members by a join; the members of
+   larger ones by a prefix-filtered weighted-Jaccard join (`settled`), which first links each member to its likeliest partner
+   outside its component, round by round, and then tests every cross pair that is left (with more than SMALL components the
+   bucket is first cut finer by a further band).  A link inside a component adds nothing to the classes, so it is not tested again.
+No step emits all pairs of a large bucket: members that share a prefix shingle are compared in tiles inside tasks, and only
+pairs of different components whose weights and samples allow the threshold come out.
 Pairs whose samples agree in fewer than MATCHES places are dropped before their texts move (a similarity of 0.8 falls below
 that with probability 1e-5).
 
@@ -35,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS, BANDS = 3, 12
 MATCHES = 18
 SMALL = 32
+TILE = 1024
+COUNTS = 1 << 20
 FEATURES = 1 << 18
 GRID = 1 << 16
 
@@ -199,6 +203,142 @@ def _members(sigs):
     return sigs.select("id", F.posexplode(hashes).alias("band", "key"))
 
 
+def _postings(texts, ids, idf, similarity):
+    """id, shingle, total, rest of the open ids: each text's rarest shingles, with the text's weight and that of the shingle and
+    all after it in order of rarity.  Weights sum to `total`; a partner shares at least `similarity` of it, so their first common
+    shingle has a rest of that much in both.  Rarity is counted in COUNTS hashed buckets over the open texts; any fixed order is right."""
+    near = _needed(texts, ids)
+    sc = texts.sparkSession.sparkContext
+    held = sc.broadcast(idf)
+
+    def count(batches):
+        total = np.zeros(COUNTS, np.int64)
+        for b in batches:
+            for _, _, data, offs in X.pieces(b.column(1)):
+                total += np.bincount((_bags(data, offs, held.value)[1] & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    rows = near.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    often = np.zeros(COUNTS, np.int64)
+    often[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    table = sc.broadcast(often)
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def step(batches):
+        for b in batches:
+            for lo, hi, data, offs in X.pieces(b.column(1)):
+                doc, key, weight = _bags(data, offs, held.value)[:3]
+                order = np.lexsort((key, table.value[(key & np.uint64(COUNTS - 1)).astype(np.int64)], doc))
+                doc, key, weight = doc[order], key[order], weight[order]
+                total = np.bincount(doc, weight, hi - lo)
+                past = np.concatenate([[0.0], np.cumsum(weight)])
+                before = past[:-1] - past[np.searchsorted(doc, np.arange(hi - lo))][doc]
+                keep = np.flatnonzero(before <= (1 - similarity + 1e-9) * total[doc])
+                cols = [b.column(0).take(pa.array(lo + doc[keep])), pa.array(key[keep].view(np.int64)), pa.array(total[doc[keep]]), pa.array((total[doc] - before)[keep])]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "shingle", "total", "rest"])
+
+    return near.mapInArrow(step, f"id {kind}, shingle long, total double, rest double")
+
+
+def _tile_pairs(group, tile, label, total, rest, code, similarity, best):
+    """(row, row, agreeing samples) of the rows of one shingle and tile pair that can reach the threshold and have different
+    labels; with `best` only each row's likeliest partner (rows of the most frequent label are partners only)."""
+    hub = np.bincount(label).argmax()
+    others = np.flatnonzero(label != hub)
+    out = []
+    for at in range(0, len(others), 64):
+        p = others[at:at + 64, None]
+        q = np.arange(len(label))[None, :]
+        ok = (label[p] != label[q]) & ((label[q] == hub) | (p < q)) & (np.minimum(rest[p], rest[q]) >= (similarity / (1 + similarity) - 1e-9) * (total[p] + total[q]))
+        if group[1] != group[2]:
+            ok &= tile[p] != tile[q]
+        x, y = np.nonzero(ok)
+        x = others[at + x]
+        for k in range(0, len(x), 1 << 16):
+            a, b = x[k:k + (1 << 16)], y[k:k + (1 << 16)]
+            same = (code[a] == code[b]).sum(1)
+            good = np.flatnonzero(same >= MATCHES)
+            out.append((a[good], b[good], same[good]))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, same = (np.concatenate(c) for c in zip(*out))
+    if best:
+        order = np.argsort(-same, kind="stable")
+        a, b, same = a[order], b[order], same[order]
+        keep = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.flatnonzero(label[b] != hub)[np.unique(b[label[b] != hub], return_index=True)[1]]]))
+        a, b, same = a[keep], b[keep], same[keep]
+    return a, b, same
+
+
+def _cross_pairs(postings, nodes, similarity, best):
+    """a, b, same: pairs of nodes(id, label, code) with different labels that a shared shingle leaves possible."""
+    now = postings.join(nodes, "id")
+    busy = now.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("shingle", F.expr(f"cast(ceil(n / {TILE}) AS int)").alias("tiles"))
+    dealt = now.join(busy, "shingle").withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("shingle", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "id", "label", "total", "rest", "code")
+    kind = nodes.schema["id"].dataType.simpleString()
+
+    def step(batches):
+        def pairs(rows, last):
+            """Pairs of the whole groups of rows, and the rows of the last group unless it is `last`."""
+            key = np.column_stack([rows.column(k).to_numpy() for k in range(3)])
+            edge = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(key))
+            stop = len(edge) - (1 if last else 2)
+            tile, total, rest = (rows.column(k).to_numpy() for k in (3, 6, 7))
+            label = rows.column(5).combine_chunks().dictionary_encode().indices.to_numpy()
+            code = rows.column(8).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+            found = []
+            for s, e in zip(edge[:stop].tolist(), edge[1:stop + 1].tolist()):
+                own = np.unique(label[s:e], return_inverse=True)[1]
+                if own.any():
+                    a, b, same = _tile_pairs(key[s], tile[s:e], own, total[s:e], rest[s:e], code[s:e], similarity, best)
+                    found.append((s + a, s + b, same))
+            a, b, same = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            ids = rows.column(4).combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(same.astype(np.int64))], names=["a", "b", "same"]), rows.slice(edge[stop])
+
+        held = None
+        for b in batches:
+            if b.num_rows:
+                rows = pa.Table.from_batches([b])
+                rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+                out, held = pairs(rows, False)
+                yield out
+        if held is not None and held.num_rows:
+            yield pairs(held.combine_chunks(), True)[0]
+
+    found = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(step, f"a {kind}, b {kind}, same long")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("same").alias("same"))
+
+
+def settled(spark, texts, ids, sigs, links, labels, idf, similarity=SIMILARITY):
+    """links and labels after all pairs of ids in different components are tested.  While the likeliest partners bring links, only
+    they are verified; the last round verifies every pair left."""
+    code = F.expr("transform(sig, x -> cast(pmod(hash(x), 256) - 128 AS tinyint))")  # equal samples have equal bytes
+    coded = X.written(spark, sigs.join(ids, "id", "left_semi").select("id", code.alias("code")), "coded")
+    postings = X.written(spark, _postings(texts, ids, idf, similarity), "postings")
+    shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    postings = X.written(spark, postings.join(shared, "shingle"), "postings")
+    best = True
+    while True:
+        nodes = coded.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "code")
+        pairs = X.written(spark, _cross_pairs(postings, nodes, similarity, best), "likely")
+        if pairs.isEmpty():
+            return links, labels
+        if best:
+            both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
+            pairs = both.groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = verified(spark, texts, pairs, idf, similarity)
+        grown = not new.isEmpty()
+        if grown:
+            links = X.written(spark, links.union(new.select("a", "b")), "links")
+            labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if not best:
+            return links, labels
+        best = grown
+
+
 def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
     """One row per id: id, class_id (least id with the same words), group_id (least id of its near-duplicate group)."""
     spark = docs.sparkSession
@@ -226,16 +366,15 @@ def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
         tagged = X.written(spark, tagged.join(sizes, "key"), "busy")
         small, mid, large = tagged.where(F.col("n") <= SMALL), tagged.where((F.col("n") > SMALL) & (F.col("c") <= SMALL)), tagged.where((F.col("n") > SMALL) & (F.col("c") > SMALL))
         side = lambda df, c: df.select("key", F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-        pairs = side(small, "a").join(side(small, "b"), "key").where("a < b AND label_a <> label_b").select("a", "b")
-        other = mid.where("label <> hub")
-        leads = mid.groupBy("key", "label").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.min_by("id", F.xxhash64("id", "key")).alias("y"))
-        leads = leads.select("key", F.col("label").alias("label_a"), F.explode(F.array_distinct(F.array("a", "y", "z"))).alias("a"))
-        pairs = pairs.union(leads.join(side(other, "b"), "key").where("label_a <> label_b").select("a", "b")).distinct()
+        pairs = side(small, "a").join(side(small, "b"), "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
         likely = X.written(spark, _alike(pairs, sigs), "likely")
         new = likely.limit(0) if likely.isEmpty() else verified(spark, texts, likely, idf, similarity)
         if not new.isEmpty():
             links = X.written(spark, links.union(new.select("a", "b")), "links")
             labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        rest = X.written(spark, mid.select("id").distinct(), "rest")
+        if not rest.isEmpty():
+            links, labels = settled(spark, texts, rest, sigs, links, labels, idf, similarity)
         finer = large.select("key", "id", "band").join(found.select("id", F.col("band").alias("band2"), F.col("key").alias("key2")), "id").where("band2 > band" if level > 1 else "band2 <> band")
         finer = finer.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key") if level == 1 else F.xxhash64("key", "key2").alias("key"), "id", F.greatest("band", "band2").alias("band")).distinct()
         open_rows = X.written(spark, finer, "finer")

@@ -315,6 +315,43 @@ def test_near_groups_of_a_large_group(spark, monkeypatch):
     assert all(got[100 + k] == 100 + k for k in range(60)) and got[201] == got[200] == 200
 
 
+def all_pairs_groups(spark, rows):
+    """Least id of each group of texts linked by a weighted Jaccard similarity of 0.8, from every pair."""
+    rows = sorted(rows)
+    idf = neardup.word_idf(spark.createDataFrame(rows, "id long, text string").select("text"))
+    doc, key, weight = neardup._bags(*X.as_bytes(pa.array([t for _, t in rows])), idf)[:3]
+    grid = np.zeros((len(rows), len(np.unique(key))))
+    grid[doc, np.unique(key, return_inverse=True)[1]] = weight
+    group = np.arange(len(rows))
+    for i in range(len(rows)):
+        low = np.minimum(grid, grid[i]).sum(1)
+        for j in np.flatnonzero(low / (grid.sum(1) + grid[i].sum() - low) >= 0.8):
+            group[group == max(group[i], group[j])] = min(group[i], group[j])
+    return {rows[i][0]: rows[g][0] for i, g in enumerate(group)}
+
+
+def outsiders(n_hub, n_out, seed=11):
+    """A hub of texts with two edits each; each outsider has four edits more than one hub member, and is near only to it."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 4000, 240)]
+
+    def edited(words, n, name):
+        out = list(words)
+        for k in rng.choice(240, n, replace=False):
+            out[k] = f"{name}x{k}"
+        return out
+
+    hub = [edited(base, 2, f"h{k}") for k in range(n_hub)]
+    out = [edited(hub[k], 4, f"o{k}") for k in rng.choice(n_hub, n_out, replace=False)]
+    return [(int(i), " ".join(t)) for i, t in zip(rng.permutation(n_hub + n_out), [*hub, *out])]
+
+
+def test_near_groups_of_outsiders(spark):
+    rows = outsiders(150, 30)
+    got = {r.id: r.group_id for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_groups(spark, rows)
+
+
 def test_near_groups_awkward_rows(spark, odd, none):
     got = {r.id: r.group_id for r in neardup.near_groups(odd).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
