@@ -10,8 +10,8 @@ buckets as in Spark's HashingTF, so the broadcast table has a fixed size.
    similarity of the whole texts, and verified links are joined to components.
 4. In buckets that still hold several components, all cross pairs are tested: up to SMALL members by a join; the members of
    larger ones by a prefix-filtered weighted-Jaccard join (`settled`), which first links each member to its likeliest partner
-   outside its component, round by round, and then tests every cross pair that is left (with more than SMALL components the
-   bucket is first cut finer by a further band).  A link inside a component adds nothing to the classes, so it is not tested again.
+   outside its component, round by round, and then tests every cross pair that is left.  A
+   link inside a component adds nothing to the classes, so it is not tested again.
 No step emits all pairs of a large bucket: members that share a prefix shingle are compared in tiles inside tasks, and only
 pairs of different components whose weights and samples allow the threshold come out.
 Pairs whose samples agree in fewer than MATCHES places are dropped before their texts move (a similarity of 0.8 falls below
@@ -339,6 +339,13 @@ def settled(spark, texts, ids, sigs, links, labels, idf, similarity=SIMILARITY):
         best = grown
 
 
+def _busy(spark, members, labels):
+    """key, id, label of the buckets that hold several components."""
+    tagged = X.written(spark, members.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "tagged")
+    busy = tagged.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return X.written(spark, tagged.join(busy, "key"), "busy")
+
+
 def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
     """One row per id: id, class_id (least id with the same words), group_id (least id of its near-duplicate group)."""
     spark = docs.sparkSession
@@ -355,32 +362,18 @@ def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
     best = led.groupBy("b").agg(F.min(F.struct((-F.col("same")).alias("less"), F.col("a"))).alias("x"))
     links = verified(spark, texts, best.select(F.col("x.a").alias("a"), "b"), idf, similarity).select("a", "b")
     # links between parts that are not yet joined
-    level, open_rows = 1, members.select("key", "id", "band")
     labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    while True:
-        tagged = open_rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        tagged = X.written(spark, tagged, "tagged")
-        busy = tagged.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
-        parts = tagged.join(busy, "key").groupBy("key", "n", "label").agg(F.count("*").alias("m"))
-        sizes = parts.groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("c"), F.max(F.struct("m", "label"))["label"].alias("hub"))
-        tagged = X.written(spark, tagged.join(sizes, "key"), "busy")
-        small, mid, large = tagged.where(F.col("n") <= SMALL), tagged.where((F.col("n") > SMALL) & (F.col("c") <= SMALL)), tagged.where((F.col("n") > SMALL) & (F.col("c") > SMALL))
-        side = lambda df, c: df.select("key", F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
-        pairs = side(small, "a").join(side(small, "b"), "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
-        likely = X.written(spark, _alike(pairs, sigs), "likely")
-        new = likely.limit(0) if likely.isEmpty() else verified(spark, texts, likely, idf, similarity)
-        if not new.isEmpty():
-            links = X.written(spark, links.union(new.select("a", "b")), "links")
-            labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        rest = X.written(spark, mid.select("id").distinct(), "rest")
-        if not rest.isEmpty():
-            links, labels = settled(spark, texts, rest, sigs, links, labels, idf, similarity)
-        finer = large.select("key", "id", "band").join(found.select("id", F.col("band").alias("band2"), F.col("key").alias("key2")), "id").where("band2 > band" if level > 1 else "band2 <> band")
-        finer = finer.select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key") if level == 1 else F.xxhash64("key", "key2").alias("key"), "id", F.greatest("band", "band2").alias("band")).distinct()
-        open_rows = X.written(spark, finer, "finer")
-        level += 1
-        if open_rows.isEmpty():
-            break
+    small = _busy(spark, members.where(F.col("n") <= SMALL), labels)
+    side = lambda c: small.select("key", F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
+    pairs = side("a").join(side("b"), "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
+    likely = X.written(spark, _alike(pairs, sigs), "likely")
+    new = likely.limit(0) if likely.isEmpty() else verified(spark, texts, likely, idf, similarity)
+    if not new.isEmpty():
+        links = X.written(spark, links.union(new.select("a", "b")), "links")
+        labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    rest = X.written(spark, _busy(spark, members.where(F.col("n") > SMALL), labels).select("id").distinct(), "rest")
+    if not rest.isEmpty():
+        links, labels = settled(spark, texts, rest, sigs, links, labels, idf, similarity)
     return classed.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select("id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
 
 

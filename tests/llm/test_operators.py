@@ -352,6 +352,21 @@ def test_near_groups_of_outsiders(spark):
     assert got == all_pairs_groups(spark, rows)
 
 
+def one_passage(n, n_near, seed=5):
+    """Different texts with one passage in common, just unlike each other; the last n_near are each near to one of the others."""
+    rng = np.random.default_rng(seed)
+    passage = [f"p{k}" for k in range(200)]
+    own = [[f"o{k}w{x}" for x in range(18)] for k in range(n)]
+    near = [[*own[k][:9], *[f"n{k}w{x}" for x in range(9)]] for k in rng.choice(n, n_near, replace=False)]
+    return [(int(i), " ".join([*passage, *t])) for i, t in zip(rng.permutation(n + n_near), [*own, *near])]
+
+
+def test_near_groups_of_texts_with_one_passage(spark):
+    rows = one_passage(300, 60)
+    got = {r.id: r.group_id for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_pairs_groups(spark, rows)
+
+
 def test_near_groups_awkward_rows(spark, odd, none):
     got = {r.id: r.group_id for r in neardup.near_groups(odd).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
