@@ -185,16 +185,16 @@ def _features(all_blocks):
     for i, b in enumerate(all_blocks):
         size = len(b.text)
         tags, words, x = [], [], b.node
-        while x is not None and len(tags) < 12:
+        while x is not None:
             if x.tag in BLOCK or x.tag in LEADS:
                 tags.append(x.tag)
-            words += x.words[:8]
+            words += x.words
             x = x.up
         stops = sum(b.text.count(c) for c in ".!?,;")
         names = ["bias", f"size{min(9, int(math.log2(size + 1)))}", f"links{min(4, b.links * 5 // (size + 1))}", f"stops{min(4, stops)}", f"ends{b.text[-1] in '.!?:\"'}", f"own {tags[0] if tags else ''}", f"place{min(4, i * 5 // n)}"]
         names += [f"in {t}" for t in dict.fromkeys(tags)] + [f"word {w}" for w in dict.fromkeys(words)]
         names += [f"side{b.node.side}", f"lead{b.node.lead and not b.node.side}", f"bodyword{any(w in BODY_WORDS for w in words)}"]
-        out.append([_number(x) for x in names[:40]])
+        out.append([_number(x) for x in names])
     return out
 
 

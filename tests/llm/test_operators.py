@@ -251,6 +251,14 @@ def test_extraction(spark):
     assert mincut.fit_costs(pages.where("1 = 0")) is None
 
 
+def test_marks_of_deep_pages_are_features():
+    deep = "".join(f'<div class="a{k}-b{k}-c{k} d{k}-e{k}">' for k in "ghijklmnop")
+    page = '<body class="x1 x2 x3 x4 x5 x6 x7 x8 story">' + deep + "<div>" * 10 + "<nav>Home and more</nav><article><p>A text of some length, with a stop.</p></article>"
+    menu, text = mincut._features(mincut.blocks(page))
+    assert {mincut._number(n) for n in ("sideTrue", "leadFalse", "bodywordTrue", "word story")} <= set(menu)
+    assert {mincut._number(n) for n in ("sideFalse", "leadTrue", "bodywordTrue", "word story")} <= set(text)
+
+
 def test_cut_is_minimal():
     import itertools
     rng = np.random.default_rng(5)
