@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crewgrid.llm import alignment, chat, contamination, mincut, mixing, neardup, pieces, quality, secrets, suffixes, toxicity
+from crewgrid.llm import alignment, chat, contamination, langid, mincut, mixing, neardup, pieces, quality, ranked, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_scoring": mixing.op1_scoring,
@@ -15,9 +15,12 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_language": langid.op11_language,
+    "op12_ranked_search": ranked.op12_ranked_search,
     "op13_alignment": alignment.op13_alignment,
 }
 ORACLES = {
     "op7_decontamination": contamination.SQL,
     "op8_chat": chat.SQL,
+    "op12_ranked_search": ranked.SQL,
 }
