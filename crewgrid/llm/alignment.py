@@ -9,7 +9,7 @@ OR of a pair's bitmaps over all chunks has the sum of their popcounts, which Spa
 postings: joined to each chunk's bitmaps, they add to the documents whose slots are set.
 
 Texts are encoded unit by unit, cut where both tokenizers always cut (before blanks behind other characters; around a single
-line break), so repeated units are encoded once a task.  Memory is bounded by a chunk and KEEP units.  The largest count of
+line break), so repeated units are encoded once a task.  Memory is bounded by a chunk and KEEP units, of which the most used stay.  The largest count of
 each A id (at most the vocabulary's size) is the only thing broadcast; documents, bitmaps and counts stay distributed.
 
 Cases: null and empty texts, and texts whose tokens do not spell them (a blank sign in the text), have no tokens: zeros and
@@ -35,9 +35,9 @@ from crewgrid.session import scratch_folder
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_BPE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-CHUNK = 24 << 20
+CHUNK = 8 << 20
 SLOTS = 1 << 16
-KEEP = 800_000
+KEEP = 320_000
 # A unit starts before blanks that follow another character, and at a single line break between others.
 UNIT = re.compile(r"(?:(?<=\S)\n(?=\S)\S*| +\S*|\S+)(?:(?! |(?<=\S)\n\S)\s+\S*)*")
 UNIT_WITHOUT_BREAKS = re.compile(r"(?: +\S*|\S+)(?:(?! )\s+\S*)*")
@@ -108,12 +108,30 @@ class Tokenizers:
     def clear(self):
         """seen: number by unit; units of even texts are kept without their leading blank, those of others in `uneven`."""
         self.seen, self.uneven, self.text, self.held, self.bad = {}, {}, [], 0, set()
-        self._parts = [(np.zeros((0, 5), np.int64), np.zeros(0, np.int64))]
+        self._parts = [(np.zeros((0, 5), np.int32), np.zeros(0, np.int64))]
+        self.uses = np.zeros(0, np.int64)
+
+    def used(self, units):
+        self.uses = np.bincount(units, minlength=len(self.text)) + np.pad(self.uses, (0, len(self.text) - len(self.uses)))
 
     def trim(self):
-        """Between chunks only: unit numbers of a chunk stay valid."""
-        if len(self.text) > KEEP or self.held > CHUNK:
-            self.clear()
+        """Beyond KEEP units only those used most stay, half as many.  Between chunks only: unit numbers of a chunk stay valid."""
+        if len(self.text) <= KEEP and self.held <= 4 * CHUNK:
+            return
+        self.used(np.zeros(0, np.int64))
+        stay = np.argsort(-self.uses, kind="stable")[:KEEP // 2]
+        stay = np.sort(stay[self.uses[stay] > 1])
+        stats, pairs = self.known()
+        first = np.cumsum(stats[:, 4]) - stats[:, 4]
+        size = stats[stay, 4]
+        at = np.repeat(first[stay] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        self._parts = [(stats[stay], pairs[at])]
+        place = dict(zip(stay.tolist(), range(len(stay))))
+        self.text = [self.text[i] for i in stay.tolist()]
+        self.bad = {place[i] for i in self.bad if i in place}
+        self.seen, self.uneven = ({u: place[i] for u, i in seen.items() if i in place} for seen in (self.seen, self.uneven))
+        self.held = sum(map(len, self.seen)) + sum(map(len, self.uneven))
+        self.uses = np.zeros(len(stay), np.int64)
 
     def known(self):
         """Of all units seen: (n_a, n_b, n_groups, n_links, linked pairs) rows, and the pairs themselves."""
@@ -155,7 +173,7 @@ class Tokenizers:
         unit_end = np.cumsum([len(u) for u in raw])
         group_unit = np.searchsorted(unit_end, ends)  # a unit's end is a group's end
         links = in_a * in_b
-        stats = np.column_stack([n_a, n_b, np.bincount(group_unit, minlength=len(units)), *[np.bincount(group_unit, links, len(units)).astype(np.int64)] * 2])
+        stats = np.column_stack([n_a, n_b, np.bincount(group_unit, minlength=len(units)), *[np.bincount(group_unit, links, len(units))] * 2]).astype(np.int32)  # of one unit
         edge = np.append(0, np.cumsum(n_a + n_b)).tolist()
         shown = shown.tolist()
         self.text += ["".join(shown[lo:hi])[:-1] for lo, hi in zip(edge, edge[1:])]
@@ -198,16 +216,19 @@ class Chunk:
         for r, units in enumerate(tok.numbers(texts)):
             groups = ";".join(map(tok.text.__getitem__, units))
             self.rows.append((rows.slice(r, 1), hashlib.sha256(groups.encode()).hexdigest() if units else "", groups if keep_groups else None))
-            self.units.append(np.array(units, np.int64))
+            self.units.append(np.array(units, np.int32))
         self.bytes += sum(map(len, texts))
 
     def counts(self, tok):
         """n_a, n_b, n_groups and n_links by slot."""
-        stats = tok.known()[0][:, :4]
+        stats, units = tok.known()[0], np.concatenate(self.units)
+        tok.used(units)
         edge = np.append(0, np.cumsum([len(u) for u in self.units]))
-        total = np.zeros((int(edge[-1]) + 1, 4), np.int64)
-        np.cumsum(stats[np.concatenate(self.units)], axis=0, out=total[1:])
-        return (total[edge[1:]] - total[edge[:-1]]).T
+        out, total = [], np.zeros(len(units) + 1, np.int64)
+        for c in range(4):
+            np.cumsum(stats[units, c], out=total[1:])
+            out.append(total[edge[1:]] - total[edge[:-1]])
+        return out
 
     def planes(self, tok):
         """(pair, plane, documents, slots) arrays and the bits of each plane, by pair."""
@@ -216,14 +237,15 @@ class Chunk:
         key, n = np.unique(slot * n_units + np.concatenate(self.units), return_counts=True)
         slot, unit = key // n_units, key % n_units
         stats, pair = tok.known()
-        size = stats[:, 4]
+        size = stats[:, 4].astype(np.int64)
         first = np.cumsum(size) - size
         each = size[unit]
         at = np.repeat(first[unit] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
         known, pair = np.unique(pair, return_inverse=True)
         pair, links, slot = pair[at], np.repeat(n, each), np.repeat(slot, each)
         if len(links) and int(links.max()) < 1 << 15:  # one sort of packed values; at most 2^32 pairs
-            packed = np.sort(pair << 31 | slot << 15 | links)
+            packed = pair << 31 | slot << 15 | links
+            packed.sort()
             pair, slot, links = packed >> 31, packed >> 15 & 0xFFFF, packed & 0x7FFF
         else:
             order = np.lexsort((slot, pair))

@@ -122,7 +122,8 @@ def _sample(docs, id_col, text_col, lang_col, fit):
     """About fit.rows rows of each language: those whose id hashes below the share that many rows are."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)).alias("at"))
     share = rows.groupBy("lang").agg((F.lit(float(fit.rows << 20)) / F.count("*")).alias("share"))
-    return rows.join(share, "lang").where(F.col("at") < F.col("share")).select("lang", "text")
+    few = share.limit(10_001).count() <= 10_000  # one row a language: beyond that Spark chooses the join
+    return rows.join(F.broadcast(share) if few else share, "lang").where(F.col("at") < F.col("share")).select("lang", "text")
 
 
 def train(docs, id_col="doc_id", text_col="text", lang_col="lang", fit=Fit()):
