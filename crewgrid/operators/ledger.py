@@ -123,12 +123,13 @@ def can_react(requests, members):
     return j.drop("_m").select("*", ok.alias("allowed"), F.when(ok, "channel member").otherwise("not a member").alias("reason"))
 
 
-def approval_rules(events):
+def approval_rules(events, auth_ok=None):
     """Approvals bind to the latest recommendation, actions to the latest approval, each approval works once.
 
     events: position (unique), event_id, correlation_id, type, requires_approval,
     decision, causation_id, scope, approval_scope, authorization, entitled (from
-    the registry) and logged_entitled.
+    the registry) and logged_entitled; auth_ok: a column that tells valid
+    authorizations, where their form alone does not.
 
     The replay state at any event is determined by the latest earlier
     recommendation and the latest earlier valid approval or denial of its
@@ -136,7 +137,7 @@ def approval_rules(events):
     it, which is a minimum over positions.  So no thread is ever folded in order."""
     e = events.where(F.col("type").isin("recommendation", "approval", "action")).select(
         "ledger_id", "position", "event_id", "correlation_id", "type", "requires_approval", "decision", "causation_id", "scope",
-        effective_scope().alias("eff_scope"), "auth", authorization_ok().alias("auth_ok"), "entitled", "logged_entitled")
+        effective_scope().alias("eff_scope"), "auth", (F.col(auth_ok) if auth_ok else authorization_ok()).alias("auth_ok"), "entitled", "logged_entitled")
     splits = split_points(e, "position")
     keys = ["ledger_id", "correlation_id"]
     is_rec = (F.col("type") == "recommendation") & F.coalesce(F.col("requires_approval"), F.lit(False))

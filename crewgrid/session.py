@@ -52,6 +52,13 @@ def scratch_folder(spark):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/crewgrid-{uuid.uuid4().hex}"
 
 
+def stored(df):
+    """The frame, written once to the shared checkpoint folder and read again, for results that many branches use."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def guard(spark):
     """Spark 4.1 may take a union of equally partitioned inputs for one partitioned
     input and then join it wrongly; this keeps unions plain."""

@@ -179,6 +179,20 @@ SELECT event_id, CAST((event_id - event_id % 100) / 100 AS BIGINT) AS ledger_id,
   concat(CAST(event_id AS STRING), ':', event_type, ':', CAST(user_id AS STRING), ':', props) AS body
 FROM {events}"""
 
+# The same events as members of JSON objects, in key order, with <> for braces; `cause` is the place of the causing event in its ledger.
+VIEWS["event_parts"] = """
+SELECT ledger_id, sequence, event_id, CASE WHEN causation_id IS NOT NULL THEN CAST(causation_id - ledger_id * 100 AS INT) END AS cause,
+  concat('"actor":<"display":"', CASE WHEN event_id % 71 = 2 THEN 'Boss' ELSE concat('D', CAST(actor_id AS STRING)) END, '","id":"', CAST(actor_id AS STRING), '","kind":"', actor_kind, '","role":"staff">',
+    CASE WHEN decision IS NULL THEN '' ELSE concat(',"approval":<"by":"', CASE WHEN event_id % 43 = 6 THEN 'u-other' ELSE CAST(actor_id AS STRING) END, '","decision":"', decision, '","entitled":', CASE WHEN logged_entitled THEN 'true' ELSE 'false' END,
+      CASE WHEN event_id % 47 = 6 THEN '' WHEN event_id % 53 = 8 THEN ',"registry_version":"v0"' ELSE ',"registry_version":"v1"' END,
+      ',"scope":"', CASE WHEN scope IS NOT NULL AND event_id % 37 = 1 THEN 'other2' WHEN scope IS NULL THEN approval_scope ELSE scope END, '">') END,
+    CASE WHEN auth IS NULL THEN '' ELSE concat(',"authorization":<"artifacts":[<"artifact_id":"a-1","content_hash":"sha256:', repeat('ab', 32), '","evidence_hash":"sha256:', lpad(replace(auth, 'sha256:', ''), 64, '0'), '">],"bundle_hash":"sha256:', repeat('0c', 32), '","bundle_id":"pack-1","material_claim_ids_hash":"sha256:', repeat('1d', 32), '">') END) AS a,
+  concat(',"channel":"', channel, '"', CASE WHEN correlation_id IS NULL THEN '' ELSE concat(',"correlation_id":"T', CAST(correlation_id AS STRING), '"') END) AS a2,
+  concat(CASE WHEN idempotency_key IS NULL THEN '' ELSE concat(',"idempotency_key":"', idempotency_key, '"') END, ',"payload":<"n":', CAST(sequence AS STRING), '.5,"t":"é ', type, '">') AS b,
+  concat(CASE WHEN type = 'recommendation' THEN concat(',"requires_approval":', CASE WHEN requires_approval THEN 'true' ELSE 'false' END) ELSE '' END, ',"schema_version":"1.2"',
+    CASE WHEN scope IS NULL THEN '' ELSE concat(',"scope":"', scope, '"') END, ',"sequence":', CAST(sequence AS STRING), ',"ts":"2000-01-01","type":"', type, '"') AS c
+FROM ledger_rows"""
+
 VIEWS["actors"] = """
 SELECT DISTINCT user_id AS actor_id, CASE WHEN user_id % 10 = 9 THEN 'agent' ELSE 'human' END AS kind FROM {events}"""
 VIEWS["role_members"] = """
