@@ -164,3 +164,29 @@ def test_registry_version(spark):
     reg = {"actors": {"ann": {"display": "Änn \U0001f600", "kind": "human"}}, "roles": {"r": ["ann"]}, "scopes": {"s": "r"}, "channels": {}, "note": "not covered"}
     want = hashlib.sha256(json.dumps({k: reg[k] for k in ("actors", "roles", "scopes", "channels")}, sort_keys=True).encode()).hexdigest()[:12]
     assert spark.createDataFrame([(json.dumps(reg),)], "t string").select(el.registry_version("t")).first()[0] == want
+
+
+def test_stream_state_equals_batch_over_restarts(spark, registry, tmp_path):
+    """Threads cut by restarts, a thread without id, a replay from another thread, and a part that is delivered twice."""
+    from pyspark.sql import functions as F
+
+    from crewgrid.operators.ledger import approval_rules
+    from crewgrid.streaming import approval_state as st
+
+    def rows(case, at, kind, cause=None, decision=None, scope="s", auth="sha256:1", entitled=True, requires=True):
+        return (7, case, at, f"e{at}", kind, kind == "recommendation" and requires, decision, cause, scope, None, auth, entitled, entitled)
+
+    held = [
+        rows("A", 1, "recommendation"), rows("A", 2, "approval", "e1", "approved"), rows("B", 3, "recommendation"), rows("B", 4, "approval", "e3", "approved", scope="t"),
+        rows("A", 5, "action", "e2", auth="sha256:2"), rows("A", 6, "action", "e2"), rows("A", 7, "action", "e2"), rows("C", 8, "action", "e2"), rows("B", 9, "approval", "e3", "approved"),
+        rows("B", 10, "approval", "e3", "denied"), rows("B", 11, "action", "e9"), rows(None, 12, "recommendation"), rows(None, 13, "approval", "e12", "approved", entitled=False),
+        rows(None, 14, "approval", "e12", "approved"), rows(None, 15, "action", "e14"), rows("A", 16, "action", "e2"), rows("D", 17, "recommendation", requires=False), rows("D", 18, "approval", "e17", "approved"),
+    ]
+    schema = "ledger_id long, correlation_id string, position long, event_id string, type string, requires_approval boolean, decision string, causation_id string, scope string, approval_scope string, auth string, entitled boolean, logged_entitled boolean"
+    df = spark.createDataFrame(held, schema)
+    for part, where in enumerate(("position <= 4", "position between 5 and 9", "position between 5 and 9", "position > 9")):
+        df.where(where).orderBy(F.desc("position")).write.parquet(f"{tmp_path}/in/part={part}")
+        st.add(spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = sorted((r.rule, r.ledger_id, r.key) for r in st.violations(spark, f"{tmp_path}/out").collect())
+    want = sorted((r.rule, str(r.ledger_id), r.key) for r in approval_rules(df).collect())
+    assert got == want and {"action_replay", "action_ungated", "action_substituted", "approval_scope_pivot", "approval_forged", "approval_unbound"} <= {r for r, _, _ in got}
