@@ -193,6 +193,15 @@ SELECT ledger_id, sequence, event_id, CASE WHEN causation_id IS NOT NULL THEN CA
     CASE WHEN scope IS NULL THEN '' ELSE concat(',"scope":"', scope, '"') END, ',"sequence":', CAST(sequence AS STRING), ',"ts":"2000-01-01","type":"', type, '"') AS c
 FROM ledger_rows"""
 
+# Orders as bundles of the artifacts their lines stand for.
+VIEWS["bundle_artifacts"] = """
+SELECT DISTINCT l_orderkey AS bundle_no, concat('a', lpad(CAST(l_linenumber AS STRING), 2, '0'), '-', CAST(l_partkey AS STRING)) AS artifact_id,
+  CASE WHEN l_partkey % 31 = 4 THEN 'memo' WHEN l_partkey % 2 = 0 THEN 'report' ELSE 'dataset' END AS artifact_type,
+  concat('sha256:', lpad(CAST(l_partkey AS STRING), CASE WHEN l_partkey % 37 = 5 THEN 63 ELSE 64 END, '0')) AS content_hash, concat('sha256:', lpad(CAST(l_suppkey AS STRING), 64, 'a')) AS evidence_hash,
+  CASE l_partkey % 23 WHEN 3 THEN 'repo:../out/of.txt' WHEN 7 THEN 'repo:/abs.txt' WHEN 9 THEN 'http:x' WHEN 11 THEN 'urn:x' WHEN 12 THEN 'repo:a/./b//c.txt' ELSE concat('repo:out/', CAST(l_partkey AS STRING), '.md') END AS content_uri,
+  concat('c', lpad(CAST(l_suppkey % 40 AS STRING), 3, '0')) AS claim_1, concat('d', lpad(CAST(l_partkey % 40 AS STRING), 3, '0')) AS claim_2
+FROM {lineitem}"""
+
 VIEWS["actors"] = """
 SELECT DISTINCT user_id AS actor_id, CASE WHEN user_id % 10 = 9 THEN 'agent' ELSE 'human' END AS kind FROM {events}"""
 VIEWS["role_members"] = """
