@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from crewgrid.llm import textops as X
@@ -137,11 +138,11 @@ def train(docs, id_col="doc_id", text_col="text", lang_col="lang", fit=Fit()):
         total = np.array([sum(r["n"] for r in sums if r["kind"] == kind and r["lang"] == v) for v in langs], float)
         limit = fit.grams if kind else fit.words
         top = counts.where(F.col("kind") == kind).groupBy("entry").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "entry").limit(limit)
-        rows = counts.where(F.col("kind") == kind).join(top, "entry").select("entry", "lang", "n").toPandas()  # at most limit x languages
-        entries, at = np.unique(rows["entry"].to_numpy(np.int64).astype(np.uint64), return_inverse=True)
+        rows = counts.where(F.col("kind") == kind).join(top, "entry").select("entry", "lang", "n").toArrow()  # at most limit x languages
+        entries, at = np.unique(rows.column("entry").to_numpy().astype(np.uint64), return_inverse=True)
         shares = np.full((len(entries), len(langs)), -1.0 - np.log10(max(1.0, total.max(initial=1.0))), np.float32)
-        lang = np.searchsorted(langs, rows["lang"].to_numpy(str)) if len(rows) else np.zeros(0, np.int64)
-        shares[at, lang] = np.log10(rows["n"].to_numpy(float) / total[lang])
+        lang = pc.index_in(rows.column("lang"), pa.array(langs, pa.string())).to_numpy() if len(rows) else np.zeros(0, np.int64)
+        shares[at, lang] = np.log10(rows.column("n").to_numpy() / total[lang])
         model["tables"][kind] = entries, shares
     return model
 
