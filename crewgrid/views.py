@@ -202,6 +202,10 @@ SELECT DISTINCT l_orderkey AS bundle_no, concat('a', lpad(CAST(l_linenumber AS S
   concat('c', lpad(CAST(l_suppkey % 40 AS STRING), 3, '0')) AS claim_1, concat('d', lpad(CAST(l_partkey % 40 AS STRING), 3, '0')) AS claim_2
 FROM {lineitem}"""
 
+VIEWS["manifest_claims"] = """
+SELECT DISTINCT l_orderkey AS manifest_no, concat('c', lpad(CAST(l_linenumber AS STRING), 2, '0'), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS claim_id, l_partkey AS k, l_suppkey % 3 AS s
+FROM {lineitem}"""
+
 VIEWS["actors"] = """
 SELECT DISTINCT user_id AS actor_id, CASE WHEN user_id % 10 = 9 THEN 'agent' ELSE 'human' END AS kind FROM {events}"""
 VIEWS["role_members"] = """
