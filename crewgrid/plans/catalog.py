@@ -19,6 +19,6 @@ def add(name, build, views=None, sql=None):
 
 def load_all():
     from crewgrid.plans import (  # noqa: F401
-        workforce_queries, peer_queries, equity_queries, governance_queries, model_queries, valuation_queries, stream_queries, event_ledger_queries, bundle_queries, manifest_queries,
+        workforce_queries, peer_queries, equity_queries, governance_queries, model_queries, valuation_queries, stream_queries, event_ledger_queries, bundle_queries, manifest_queries, identifier_queries,
     )
     return QUERIES, ORACLES

@@ -206,6 +206,17 @@ VIEWS["manifest_claims"] = """
 SELECT DISTINCT l_orderkey AS manifest_no, concat('c', lpad(CAST(l_linenumber AS STRING), 2, '0'), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING)) AS claim_id, l_partkey AS k, l_suppkey % 3 AS s
 FROM {lineitem}"""
 
+VIEWS["real_issuers"] = """
+SELECT c_custkey AS k, concat('T', upper(c_mktsegment), '.', CAST(c_custkey AS STRING)) AS ticker, concat('Issuer ', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 2 = 0 THEN ', Inc.' ELSE ' Holdings Ltd' END) AS company_name,
+  CASE WHEN c_custkey % 50 = 1 THEN 'yes' ELSE 'no' END AS is_subject FROM {customer}"""
+
+VIEWS["invented_rows"] = """
+SELECT o.o_orderkey AS id, CASE WHEN o_orderkey % 97 = 5 THEN concat(' ', lower(i.ticker)) WHEN o_orderkey % 89 = 6 THEN 'ABQQQ' WHEN o_orderkey % 83 = 7 THEN CAST(NULL AS STRING)
+    ELSE concat(chr(CAST(65 + o_orderkey % 26 AS INT)), chr(CAST(65 + o_custkey % 26 AS INT)), 'KQ') END AS ticker,
+  CASE WHEN o_orderkey % 79 = 8 THEN concat('ISSUER ', CAST(i.k AS STRING), ' Corp') WHEN o_orderkey % 73 = 9 THEN CAST(NULL AS STRING) ELSE concat('Made Up ', chr(CAST(65 + o_orderkey % 26 AS INT))) END AS company_name,
+  CASE WHEN o_orderkey % 71 = 1 THEN concat('see ', i.ticker, ', then ', i.ticker, '.') WHEN o_orderkey % 71 = 2 THEN concat('x', i.ticker, ' and ', i.ticker, 'Z') WHEN o_orderkey % 71 = 3 THEN CAST(NULL AS STRING) ELSE concat('ABKQ holds: ', o_comment) END AS note, i.k AS k, i.is_subject AS is_subject
+FROM (SELECT DISTINCT o_orderkey, o_custkey, o_orderpriority AS o_comment FROM {orders}) o JOIN real_issuers i ON i.k = o.o_custkey"""
+
 VIEWS["actors"] = """
 SELECT DISTINCT user_id AS actor_id, CASE WHEN user_id % 10 = 9 THEN 'agent' ELSE 'human' END AS kind FROM {events}"""
 VIEWS["role_members"] = """
