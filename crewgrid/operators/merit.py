@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from crewgrid.functions.numeric import half_even, ratio
 from crewgrid.functions.ranking import row_numbers
@@ -102,15 +103,22 @@ def refresher_shares(value):
     return F.greatest(F.lit(1), F.bround(value / REFRESH_PRICE, 0)).cast("bigint")
 
 
-def refreshers(p, grants, year=2026):
-    """Grant rows with ids that continue after the ledger's highest, in employee order."""
+def refreshers(p, grants, year=2026, plan="P-A"):
+    """Grant rows, with all columns of the grant ledger, ready to append to it: ids continue after the ledger's highest, in employee order.
+
+    Ids of a ledger are numbers or texts 'G-######'; new ones are of the same kind.  Texts of another form cannot collide and do not count."""
     r = row_numbers(p.where("equity_refresh_value > 0"), "emp_id", out="seq")
-    top = grants.agg(F.coalesce(F.max("grant_id"), F.lit(0)).alias("_top"))
+    texts = isinstance(grants.schema["grant_id"].dataType, StringType)
+    number = F.regexp_extract(F.trim("grant_id"), "^G-([0-9]+)$", 1).try_cast("bigint") if texts else F.col("grant_id").cast("bigint")
+    top = grants.agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
     d = F.to_date(F.lit(f"{year}-02-15"))
+    new = F.col("_top") + F.col("seq")
+    none = lambda t: F.lit(None).cast(t)
     return r.crossJoin(F.broadcast(top)).select(
-        (F.col("_top") + F.col("seq")).alias("grant_id"), F.lit("P-A").alias("plan_id"), "emp_id", "participant_group", F.lit("rsu").alias("award_type"),
-        d.alias("grant_date"), refresher_shares(F.col("equity_refresh_value")).alias("shares_granted"), F.lit(REFRESH_PRICE).alias("stock_price_at_grant_usd"),
-        F.lit(REFRESH_PRICE).alias("grant_date_fv_per_share_usd"), d.alias("vest_start_date"), F.lit(REFRESH_MONTHS).alias("vest_months_total"), F.lit(REFRESH_CLIFF).alias("cliff_months"))
+        (F.concat(F.lit("G-"), F.lpad(new.cast("string"), F.greatest(F.lit(6), F.length(new.cast("string"))), F.lit("0"))) if texts else new).alias("grant_id"), F.lit(plan).alias("plan_id"), "emp_id", "participant_group",
+        F.lit("annual_refresh").alias("grant_type"), F.lit("rsu").alias("award_type"), d.alias("grant_date"), refresher_shares(F.col("equity_refresh_value")).alias("shares_granted"), F.lit(1.0).alias("psu_max_multiplier"),
+        none("string").alias("psu_share_basis"), F.lit(REFRESH_PRICE).alias("stock_price_at_grant_usd"), none("double").alias("strike_price_usd"), F.lit(REFRESH_PRICE).alias("grant_date_fv_per_share_usd"), d.alias("vest_start_date"),
+        F.lit(REFRESH_MONTHS).alias("vest_months_total"), F.lit(REFRESH_CLIFF).alias("cliff_months"), F.lit("monthly").alias("vest_frequency"), none("date").alias("performance_period_end"))
 
 
 def group_split(rows):

@@ -37,9 +37,11 @@ def relative_performance(companies, returns, curve):
     """Rank, percentile and payout of every included company of every plan.
 
     companies: plan_id, ticker, role, index_start, index_end.  The issuer always
-    counts; peers count when they were in the index at both ends."""
+    counts; peers count when they were in the index at both ends.  A company that counts but has no return
+    fails the job: a ranking without it would move every other rank.  `unranked` lists such companies."""
     inc = companies.where((F.col("role") == "issuer") | (F.col("index_start") & F.col("index_end")))
-    x = inc.join(returns.select("ticker", "ratio"), "ticker").where("ratio is not null")
+    x = inc.join(returns.select("ticker", "ratio"), "ticker", "left")
+    x = x.withColumn("ratio", F.coalesce("ratio", F.raise_error(F.concat(F.lit("no full set of prices for "), F.col("ticker"))).cast("double")))
     r = value_ranks(x, "ratio", ["plan_id"])
     x = x.join(r, ["plan_id", "ratio"])
     pct = F.bround(100.0 * (F.col("below") + (F.col("n") - 1) / 2.0) / (F.col("total") - 1), 4)
@@ -47,6 +49,13 @@ def relative_performance(companies, returns, curve):
     return x.select("plan_id", "ticker", "role", "ratio", "rank", "percentile", F.bround(payout(F.bround("percentile", 2), curve), 4).alias("payout_pct"), F.col("total").alias("n_ranked"))
 
 
+def unranked(companies, returns):
+    """(rule, key): plans and their companies that count but have no return."""
+    inc = companies.where((F.col("role") == "issuer") | (F.col("index_start") & F.col("index_end")))
+    j = inc.join(returns.where("ratio is not null").select("ticker"), "ticker", "left_anti")
+    return j.select(F.lit("prices_missing").alias("rule"), F.concat_ws("/", F.col("plan_id").cast("string"), "ticker").alias("key"))
+
+
 def expand_correlation(names, diagonal=1.0, off_diagonal=0.4):
     """Compact correlation to one row per pair of names of an award (an award has a few dozen names)."""
     a, b = names.select("award_id", F.col("pos").alias("i")), names.select("award_id", F.col("pos").alias("j"))

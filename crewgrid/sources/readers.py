@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from csv import reader as csv_lines
+
 from pyspark.sql import functions as F, types as T
 
 from crewgrid.functions.text import front_matter
@@ -11,7 +13,7 @@ from crewgrid.sources.contracts import check_header
 def _header(spark, path):
     """Header names as written.  Only the first line of one file is read."""
     line = spark.read.text(path).limit(1).collect()
-    return [c.strip().lstrip("﻿").strip('"') for c in line[0][0].split(",")] if line else []
+    return [c.strip() for c in next(csv_lines([line[0][0].lstrip("\ufeff")]), [])] if line else []
 
 
 def csv(spark, path, columns, mode="set", types=None, forbidden=()):
@@ -26,6 +28,13 @@ def csv(spark, path, columns, mode="set", types=None, forbidden=()):
     return df
 
 
+def panel(spark, path, columns, types=None):
+    """A person-month panel as CSV.  Extra columns are allowed, but none that describes a protected trait or comes from surveillance."""
+    from crewgrid.sources.rulesets import FORBIDDEN
+
+    return csv(spark, path, columns, "min", types, FORBIDDEN)
+
+
 def parquet(spark, path, columns=None):
     df = spark.read.parquet(path)
     if columns:
