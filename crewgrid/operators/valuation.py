@@ -109,8 +109,8 @@ def simulate(awards):
                 rng = np.random.default_rng([int(r.seed), int(r.award_key) & 0xFFFFFFFF, int(r.block)])
                 z = rng.standard_normal((k, n)) @ _cholesky(np.asarray(r.corr, float).reshape(n, n)).T
                 s0, v, q = (np.asarray(a, float) for a in (r.spots, r.vols, r.yields))
-                st = s0 * np.exp((r.rate - q - 0.5 * v * v) * r.years + v * math.sqrt(r.years) * z)
-                ratio = st / s0 * np.exp(q * r.years)
+                growth = np.exp((r.rate - q - 0.5 * v * v) * r.years + v * math.sqrt(r.years) * z)
+                st, ratio = s0 * growth, growth * np.exp(q * r.years)  # equal growth ties exactly, whatever the spots
                 own = ratio[:, [r.issuer]]
                 pct = np.round(100.0 * ((ratio < own).sum(1) + ((ratio == own).sum(1) - 1) / 2.0) / (n - 1), 2)
                 x, y = np.asarray(r.curve_x, float), np.asarray(r.curve_y, float)
@@ -196,12 +196,12 @@ def fair_values(tranches, needed, prices, market, psu_values=None):
     """Value of every distinct (tranche, date).
 
     needed is reduced to distinct pairs first, so nothing is valued twice.  market:
-    company_id, rate, vol, dividend.  psu_values: (tranche_id, at, per_share) from
-    `valuation` for awards whose period is still open; a missing price or value is an error."""
+    company_id, rate, vol, dividend.  psu_values: (company_id, at, performance_end, per_share) from
+    `psu_values` for awards whose period is still open; a missing price or value is an error."""
     d = needed.select("company_id", "tranche_id", "at").distinct().join(tranches, ["company_id", "tranche_id"])
     d = d.join(prices.select("company_id", F.col("day").alias("at"), "price"), ["company_id", "at"], "left").join(market, "company_id")
     if psu_values is not None:
-        d = d.join(psu_values.select("tranche_id", "at", "per_share"), ["tranche_id", "at"], "left")
+        d = d.join(psu_values.select("company_id", "at", "performance_end", "per_share"), ["company_id", "at", "performance_end"], "left")
     else:
         d = d.withColumn("per_share", F.lit(None).cast("double"))
     years = F.date_diff("expiry", "at") / 365.0
@@ -216,6 +216,64 @@ def fair_values(tranches, needed, prices, market, psu_values=None):
     return d.select("company_id", "tranche_id", "at", F.bround(per * F.col("shares"), 6).alias("fair_value"))
 
 
+def psu_inputs(tranches, needed, prices, market, peers):
+    """Market context of every measurement of a relative-return award before its period ends.
+
+    The value of a share depends on the company, the date and the end of the period alone, so tranches that
+    agree in these are one row, simulated once.  needed: `bridge_terms`; a tranche meets its own dates by key,
+    never by comparing ranges.  market: company_id, rate, vol, dividend, off_diagonal.  peers: company_id,
+    peer, spot.  A missing price, market row or peer group is an error; `psu_input_violations` lists them."""
+    x = _open_periods(tranches, needed)
+    x = x.join(prices.select("company_id", F.col("day").alias("at"), F.col("price").cast("double").alias("spot")), ["company_id", "at"], "left")
+    x = x.join(market.select("company_id", "rate", "vol", "dividend", "off_diagonal"), "company_id", "left").join(_peer_groups(peers), "company_id", "left")
+    need = lambda c, what: F.coalesce(F.col(c), F.raise_error(F.concat_ws(" ", F.lit(what), F.col("company_id").cast("string"), F.col("at").cast("string"))))
+    x = x.withColumn("spot", need("spot", "price missing on a measurement date:").cast("double")).withColumn("rate", need("rate", "market missing:").cast("double"))
+    x = x.withColumn("peer_spots", need("peer_spots", "peer group missing:").cast("array<double>"))
+    return x.withColumn("years", F.greatest(F.date_diff("performance_end", "at") / 365.0, F.lit(1e-6)))
+
+
+def _open_periods(tranches, needed):
+    psu = tranches.where("type = 'psu_rtsr'").select("company_id", "tranche_id", "performance_end", "shares")
+    x = needed.select("company_id", "tranche_id", "at").distinct().join(psu, ["company_id", "tranche_id"]).where(F.col("performance_end") > F.col("at"))
+    return x.groupBy("company_id", "at", "performance_end").agg(F.count(F.lit(1)).alias("n_tranches"), F.sum("shares").alias("shares"))
+
+
+def _peer_groups(peers):
+    """One row per company; a peer group has a few dozen names."""
+    s = F.array_sort(F.collect_list(F.struct("peer", F.col("spot").cast("double").alias("spot"))))
+    return peers.where("spot > 0").groupBy("company_id").agg(s.alias("_p")).select("company_id", F.col("_p.spot").alias("peer_spots"))
+
+
+def psu_input_violations(tranches, needed, prices, market, peers):
+    """(rule, key) of open awards that cannot be valued: no price on the date, no market row, no usable peer."""
+    x = _open_periods(tranches, needed).join(prices.select("company_id", F.col("day").alias("at"), F.lit(True).alias("_p")), ["company_id", "at"], "left")
+    x = x.join(market.select("company_id", F.lit(True).alias("_m")), "company_id", "left").join(_peer_groups(peers), "company_id", "left")
+    rules = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(r)) for c, r in (("_p", "price_missing"), ("_m", "market_missing"), ("peer_spots", "peers_missing"))]))
+    return x.select(F.explode(rules).alias("rule"), F.concat_ws("/", "company_id", "at", "performance_end").alias("key"))
+
+
+def psu_values(inputs, curve, paths=3000, seed=30414):
+    """Value per target share of every row of `psu_inputs`: (company_id, at, performance_end, per_share, standard_error)."""
+    check_curve(curve)
+    i = inputs.withColumn("award_id", F.concat_ws("/", "company_id", "at", "performance_end"))
+    n = F.size("peer_spots") + 1
+    names = F.sequence(F.lit(0), n - 1)
+    awards = i.select(
+        "award_id", F.lit(0).alias("issuer"), "years", "rate", F.lit(paths).alias("paths"), F.lit(seed).alias("seed"), F.concat(F.array("spot"), "peer_spots").alias("spots"),
+        F.array_repeat("vol", n).alias("vols"), F.array_repeat("dividend", n).alias("yields"), F.flatten(F.transform(names, lambda a: F.transform(names, lambda b: F.when(a == b, 1.0).otherwise(F.col("off_diagonal"))))).alias("corr"),
+        F.array(*[F.lit(float(a)) for a, _ in curve]).alias("curve_x"), F.array(*[F.lit(float(b)) for _, b in curve]).alias("curve_y"))
+    v = valuation(awards).select("award_id", F.col("fair_value").alias("per_share"), "standard_error")
+    return i.select("award_id", "company_id", "at", "performance_end").join(v, "award_id").drop("award_id")
+
+
+def live_dividends(tranches, paid, calendar):
+    """Dividends per officer and year on awards live in that year: granted by its end, not vested or forfeited before its start.
+    paid: company_id, tranche_id, fy, amount."""
+    x = paid.join(tranches.select("company_id", "tranche_id", "neo_id", "grant_date", "vest_date", "forfeited", "forfeit_date"), ["company_id", "tranche_id"]).join(F.broadcast(calendar), "fy")
+    gone = F.when(F.col("forfeited"), F.col("forfeit_date") < F.col("ys")).otherwise(F.col("vest_date") < F.col("ys"))
+    return x.where((F.col("grant_date") <= F.col("ye")) & ~F.coalesce(gone, F.lit(False))).groupBy("company_id", "neo_id", "fy").agg(F.sum(F.col("amount").cast("decimal(28,6)")).cast("double").alias("dividends"))
+
+
 COMPONENTS = ["new_at_year_end", "prior_unvested", "vest_new", "vest_prior", "forfeited"]
 
 
@@ -244,6 +302,41 @@ def company_return(prices, calendar, base):
     return prices.join(F.broadcast(calendar.select("fy", F.col("ye").alias("day"))), "day").join(b, "company_id").select("company_id", "fy", half_even(100.0 * F.col("price") / F.col("_b"), 2).alias("company_tsr_value"))
 
 
+def peer_return(returns, peers, weights=None):
+    """Peer-group value of 100 per company and year: the mean of its peers' values, weighted where weights
+    (company_id, weight) are given.  Years in which no peer has a value are absent."""
+    r = returns.select(F.col("company_id").alias("peer"), "fy", "company_tsr_value")
+    x = peers.select("company_id", "peer").distinct().join(r, "peer").where("company_tsr_value is not null")
+    x = x.withColumn("weight", F.lit(1)) if weights is None else x.join(weights.select(F.col("company_id").alias("peer"), "weight"), "peer")
+    w = F.col("weight").cast("decimal(18,6)")
+    value = F.sum((w * F.col("company_tsr_value").cast("decimal(16,4)")).cast("decimal(38,10)")).cast("double") / F.sum(w).cast("double")
+    return x.groupBy("company_id", "fy").agg(half_even(value, 2).alias("peer_tsr_value"))
+
+
+PERFORMANCE = ["company_tsr_value", "peer_tsr_value", "net_income_usd", "csm_usd"]
+
+
+def performance_table(bridge, returns, peer_returns, results, digits=2):
+    """The whole table: officers' pay beside the company's return, its peers', net income and the selected measure.
+    results: company_id, fy, net_income_usd, csm_usd.  `performance_violations` lists years that lack one."""
+    r = results.select("company_id", "fy", *[half_even(F.col(c).cast("double"), digits).alias(c) for c in PERFORMANCE[2:]])
+    return pvp_table(bridge, returns, digits).join(peer_returns, ["company_id", "fy"], "left").join(r, ["company_id", "fy"], "left")
+
+
+def performance_violations(table):
+    """(rule, key) of covered years without one of the four performance columns or one of the officers."""
+    have = [*PERFORMANCE, "peo_cap", "avg_other_cap"]
+    rules = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"{c}_missing")) for c in have]))
+    return table.select(F.explode(rules).alias("rule"), F.concat_ws("/", "company_id", "fy").alias("key"))
+
+
+def relationship_graphics(table):
+    """The required relationships as parallel arrays over a company's covered years (a handful)."""
+    cols = ["fy", "peo_cap", "avg_other_cap", *PERFORMANCE]
+    x = table.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("s"))
+    return x.select("company_id", *[F.col(f"s.{c}").alias("years" if c == "fy" else c) for c in cols])
+
+
 def pvp_table(bridge, returns, digits=2):
     """Principal officer and average of the others per year, beside the company's return."""
     peo = F.col("is_peo")

@@ -85,3 +85,66 @@ m AS (SELECT company_id, CASE WHEN c1 > c0 * 1.02::DOUBLE THEN 'up' WHEN c1 < c0
 SELECT *, cap_direction = tsr_direction OR cap_direction = 'flat' OR tsr_direction = 'flat' AS aligned FROM m""")
 add("pvp_relationship_series", lambda s, d: vl.relationship_series(table_(s, d)).select("company_id", F.array_join(F.transform("peo_cap", lambda v: F.bround(v, 0).cast("bigint").cast("string")), ",").alias("peo_cap")), PV, PQ + "SELECT company_id, string_agg(CAST(CAST(round_even(peo_cap, 0) AS BIGINT) AS VARCHAR), ',' ORDER BY fy) AS peo_cap FROM pt GROUP BY 1")
 add("pvp_option_values", lambda s, d: bridge(s, d, 0.42).groupBy("fy").agg(F.bround(F.sum("cap"), 2).alias("cap")))
+
+
+# ---- open relative-return awards.  Without volatility every name grows alike, so all tie in the middle of the ranking and the
+# simulated value has a closed form that SQL can state; pvp_psu_values is the same query with real volatilities.
+PEERS = lambda s, d: view(s, d, "pay_peers")
+
+
+def _open(s, d):
+    t, cal = view(s, d, "open_tranches"), vl.fiscal_calendar(s, YEARS)
+    return t, cal, vl.bridge_terms(t, cal), view(s, d, "company_prices")
+
+
+def _market(t, vol):
+    return t.select("company_id").distinct().select("company_id", F.lit(0.04).alias("rate"), F.lit(vol).alias("vol"), F.lit(0.01).alias("dividend"), F.lit(0.4).alias("off_diagonal"))
+
+
+def psu_inputs(s, d, vol=0.3):
+    t, _, terms, prices = _open(s, d)
+    return vl.psu_inputs(t, terms, prices, _market(t, vol), PEERS(s, d))
+
+
+def psu_values(s, d, vol=0.3, paths=500):
+    return vl.psu_values(psu_inputs(s, d, vol), CURVE, paths)
+
+
+def open_bridge(s, d, vol=0.0, paths=2):
+    t, cal, terms, prices = _open(s, d)
+    values = vl.fair_values(t, terms, prices, _market(t, vol), psu_values(s, d, vol, paths))
+    return vl.cap_bridge(view(s, d, "officer_pay"), terms, values, view(s, d, "officer_pension"), vl.live_dividends(t, view(s, d, "award_dividends"), cal), digits=6)
+
+
+def performance(s, d):
+    returns = vl.company_return(view(s, d, "company_prices"), vl.fiscal_calendar(s, YEARS), "1996-12-31")
+    return vl.performance_table(open_bridge(s, d), returns, vl.peer_return(returns, PEERS(s, d)), view(s, d, "filer_results"), digits=6)
+
+
+MIDDLE = "(50::DOUBLE + 25 * 50::DOUBLE / 30)"  # payout at the 50th percentile of CURVE
+OPEN_YEARS = "((performance_end - tm.m) / 365.0::DOUBLE)"
+OV = ["open_tranches", "company_prices", "officer_pay", "officer_pension", "award_dividends", "pay_peers", "filer_results"]
+OQ = PQ.replace("FROM tranches t CROSS", "FROM open_tranches t CROSS")
+OQ = OQ.replace("price * earned_pct / 100 ", f"CASE WHEN performance_end <= tm.m THEN price * earned_pct / 100 ELSE round_even(price * exp(0.03::DOUBLE * {OPEN_YEARS}) * {MIDDLE} / 100 * exp(-0.04::DOUBLE * {OPEN_YEARS}), 4) END ")
+OQ = OQ.replace("br0 AS (SELECT o.*, ", """dv AS (SELECT t.company_id, neo_id, a.fy, sum(amount) AS amount FROM award_dividends a JOIN open_tranches t USING (company_id, tranche_id) JOIN cal ON cal.fy = a.fy
+  WHERE grant_date <= ye AND CASE WHEN forfeited THEN forfeit_date ELSE vest_date END >= ys GROUP BY 1, 2, 3),
+br0 AS (SELECT o.*, coalesce(dv.amount, 0) AS dividends, """).replace("LEFT JOIN officer_pension p", "LEFT JOIN dv ON dv.neo_id = o.neo_id AND dv.company_id = o.company_id AND dv.fy = o.fy LEFT JOIN officer_pension p")
+OQ = OQ.replace("0.0::DOUBLE AS dividends, pension", "dividends, pension").replace(" + forfeited, 6) AS equity", " + forfeited + dividends, 6) AS equity").replace(" + forfeited + pension, 6) AS cap", " + forfeited + dividends + pension, 6) AS cap")
+OQ = OQ.rstrip() + """,
+pr AS (SELECT p.company_id, ct.fy, round_even(CAST(sum(CAST(company_tsr_value AS DECIMAL(16, 4))) AS DOUBLE) / count(*), 2) AS peer_tsr_value FROM pay_peers p JOIN ct ON ct.company_id = p.peer GROUP BY 1, 2),
+ft AS (SELECT pt.*, peer_tsr_value, round_even(net_income_usd, 6) AS net_income_usd, round_even(csm_usd, 6) AS csm_usd FROM pt LEFT JOIN pr ON pr.company_id = pt.company_id AND pr.fy = pt.fy LEFT JOIN filer_results f ON f.company_id = pt.company_id AND f.fy = pt.fy)
+"""
+add("pvp_psu_inputs", lambda s, d: psu_inputs(s, d).select("company_id", "at", "performance_end", "n_tranches", "shares", "spot", F.bround("years", 9).alias("years"), F.size("peer_spots").alias("n_peers"), F.array_join("peer_spots", ",").alias("peer_spots")), OV, OQ + """,
+op AS (SELECT DISTINCT company_id, tranche_id, m, performance_end, shares, price FROM (SELECT tm.*, p.price FROM tm JOIN company_prices p ON p.company_id = tm.company_id AND p.day = tm.m) WHERE type = 'psu_rtsr' AND performance_end > m),
+pg AS (SELECT company_id, count(*) AS n_peers, string_agg(CAST(spot AS VARCHAR), ',' ORDER BY peer) AS peer_spots FROM pay_peers GROUP BY 1)
+SELECT op.company_id, m AS "at", performance_end, count(*) AS n_tranches, CAST(sum(shares) AS BIGINT) AS shares, price::DOUBLE AS spot, round_even((performance_end - m) / 365.0::DOUBLE, 9) AS years, CAST(any_value(n_peers) AS INT) AS n_peers, any_value(peer_spots) AS peer_spots
+FROM op JOIN pg ON pg.company_id = op.company_id GROUP BY op.company_id, m, performance_end, price""")
+add("pvp_psu_values", psu_values)
+add("pvp_open_bridge", open_bridge, OV, OQ + "SELECT * FROM br")
+add("pvp_performance_table", performance, OV, OQ + "SELECT * FROM ft")
+add("pvp_performance_violations", lambda s, d: vl.performance_violations(performance(s, d)), OV, OQ + "SELECT rule, key FROM (SELECT unnest([" + ", ".join(
+    f"CASE WHEN {c} IS NULL THEN '{c}_missing' END" for c in [*vl.PERFORMANCE, "peo_cap", "avg_other_cap"]) + "]) AS rule, company_id || '/' || fy AS key FROM ft) WHERE rule IS NOT NULL")
+_whole = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(F.bround(v, 0).cast("bigint").cast("string"), F.lit("-"))), ",").alias(c)
+RC = ["peo_cap", "avg_other_cap", *vl.PERFORMANCE]
+add("pvp_relationship_graphics", lambda s, d: vl.relationship_graphics(performance(s, d)).select("company_id", F.array_join("years", ",").alias("years"), *[_whole(c) for c in RC]), OV, OQ + "SELECT company_id, string_agg(CAST(fy AS VARCHAR), ',' ORDER BY fy) AS years, " + ", ".join(
+    f"string_agg(coalesce(CAST(CAST(round_even({c}, 0) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY fy) AS {c}" for c in RC) + " FROM ft GROUP BY 1")

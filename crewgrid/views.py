@@ -320,6 +320,19 @@ FROM (SELECT DISTINCT company_id, neo_id FROM tranches) n CROSS JOIN (SELECT CAS
 
 VIEWS["officer_pension"] = "SELECT company_id, neo_id, fy, CAST(neo_id % 7 * 100 + fy % 10 - 30 AS DOUBLE) AS pension FROM officer_pay WHERE neo_id % 3 = 1"
 
+VIEWS["open_tranches"] = "SELECT company_id, neo_id, tranche_id, type, grant_fy, grant_date, vest_date, forfeited, forfeit_date, shares, strike, expiry, vest_date AS performance_end, earned_pct FROM tranches"
+
+VIEWS["award_dividends"] = """
+SELECT company_id, tranche_id, y AS fy, CAST(shares * (y % 4 + 1) AS DOUBLE) AS amount FROM open_tranches
+CROSS JOIN (SELECT CAST(1997 AS INT) AS y UNION ALL SELECT 1998 UNION ALL SELECT 1999 UNION ALL SELECT 2000) ys WHERE shares % 3 <> 1"""
+
+VIEWS["pay_peers"] = """
+SELECT s_suppkey AS company_id, CASE WHEN s_suppkey > k THEN s_suppkey - k ELSE s_suppkey + k END AS peer, CAST(20 + s_suppkey % 50 + k AS DOUBLE) AS spot
+FROM {supplier} CROSS JOIN (SELECT CAST(1 AS BIGINT) AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) ks"""
+
+VIEWS["filer_results"] = """
+SELECT l_suppkey AS company_id, CAST(year(l_shipdate) AS INT) AS fy, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT) - 35000) AS DOUBLE) AS net_income_usd, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS csm_usd FROM {lineitem} GROUP BY 1, 2"""
+
 VIEWS["pay_rows"] = """
 SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-', CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS STRING)) AS doc_id, l_partkey AS k, concat('Officer ', CAST(l_suppkey AS STRING)) AS title,
   CAST(floor(l_extendedprice) AS BIGINT) AS salary, CAST(floor(l_extendedprice * l_discount) AS BIGINT) AS bonus, CAST(l_quantity * 1000 AS BIGINT) AS stock_awards, CAST(l_linenumber * 500 AS BIGINT) AS option_awards,
