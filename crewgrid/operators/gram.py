@@ -40,14 +40,17 @@ def solve(a, b, tol):
     return np.linalg.solve(a, b)
 
 
-def ols(xtx, xty, yty, y_sum, n):
-    """Coefficients, classical standard errors and R2 from sums alone (no second pass)."""
+def ols(xtx, xty, yty, y_sum, n, absorbed=0, tss=None):
+    """Coefficients, classical standard errors and R2 from sums alone (no second pass).
+
+    Where sums are left after taking factors out, `absorbed` is the number of their effects and tss the
+    variation of y before that."""
     p = len(xty)
-    if n <= p:
-        raise ValueError(f"{n} rows for {p} terms")
+    if n <= p + absorbed:
+        raise ValueError(f"{n} rows for {p + absorbed} terms")
     inv = solve(xtx, np.eye(p), 1e-12)
     beta = inv @ xty
     rss = max(0.0, yty - beta @ xty)
-    tss = yty - y_sum ** 2 / n
-    se = np.sqrt(np.maximum(rss / (n - p) * np.diag(inv), 0.0))
+    tss = yty - y_sum ** 2 / n if tss is None else tss
+    se = np.sqrt(np.maximum(rss / (n - p - absorbed) * np.diag(inv), 0.0))
     return beta, se, float(1.0 - rss / tss if tss > 0 else 0.0)

@@ -9,21 +9,22 @@ from pyspark.sql import Window, functions as F
 
 from crewgrid.functions.numeric import half_even, pct
 from crewgrid.functions.ranking import quantiles
+from crewgrid.operators import absorb
 from crewgrid.operators.gram import ols, upper_sums
 from crewgrid.operators.population import day
 
 MIN_CELL = 5
 EU_THRESHOLD = 5.0
 LENSES = {"gender_group": True, "ethnicity_group": False}  # lens -> in scope of the 5 per cent screen
-MAX_CATEGORIES = 500
+WRITTEN = 150  # labels written out as terms; controls beyond them are absorbed
 
 
-def population(workers, as_of):
-    """In-scope people by status with hourly pay and tenure."""
+def population(workers, as_of, keep=()):
+    """In-scope people by status with hourly pay and tenure, and the further columns named in `keep`."""
     w = workers.where("worker_type = 'employee' and status in ('active', 'on_leave') and (gender_group is not null or ethnicity_group is not null)")
     return w.select(
         "emp_id", "gender_group", "ethnicity_group", "level", "job_family", "location", "rating", (F.col("is_people_manager") == "yes").cast("double").alias("mgr"),
-        (F.date_diff(day(as_of), "hire_date") / 365.25).alias("tenure"), (F.col("base_salary") / F.col("standard_full_time_hours")).alias("hourly"), "base_salary")
+        (F.date_diff(day(as_of), "hire_date") / 365.25).alias("tenure"), (F.col("base_salary") / F.col("standard_full_time_hours")).alias("hourly"), "base_salary", *keep)
 
 
 def exclusions(workers):
@@ -76,15 +77,26 @@ def eu_headline(screen):
     return screen.agg(F.count(F.lit(1)).alias("categories"), F.count_if("exceeds").alias("flagged"), F.count_if("median_watch").alias("median_watch"), (F.count_if("exceeds") > 0).alias("joint_assessment"))
 
 
-def _categories(df, cols, least=1):
-    """Sorted labels of each control that at least `least` people have, from one grouped count.  A control with more than
-    MAX_CATEGORIES labels is refused, never cut."""
+def _controls(df, cols, least=1):
+    """({control: sorted labels that at least `least` people have}, [controls with too many labels to write out]).
+
+    The controls with most labels are absorbed until the others have WRITTEN labels together, so the labels that
+    reach the driver have a fixed bound and no control is refused."""
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("x")).select("x.c", "x.v").where("v is not null")
-    rows = pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least).limit(MAX_CATEGORIES * len(cols) + 1).collect()
-    out = {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols}
-    if len(rows) > MAX_CATEGORIES * len(cols) or any(len(v) > MAX_CATEGORIES for v in out.values()):
-        raise ValueError(f"a control of {cols} has more than {MAX_CATEGORIES} categories")
-    return out
+    k = pairs.groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
+    size = {c: 0 for c in cols} | {r["c"]: r["n"] for r in k.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    big = []
+    while sum(n for c, n in size.items() if c not in big) > WRITTEN:
+        big.append(max((c for c in cols if c not in big), key=lambda c: size[c]))
+    rows = k.where(~F.col("c").isin(big)).collect() if big else k.collect()
+    return {c: sorted(r["v"] for r in rows if r["c"] == c) for c in cols if c not in big}, big
+
+
+def fit_controls(pop, target, focal, written, absorbed, numeric, least=1):
+    """`fit` where all labels are written out, else `absorb.fit`: the same terms, coefficients and errors but for the intercept."""
+    if not absorbed:
+        return fit(pop, target, {**focal, **written}, numeric)
+    return absorb.fit(pop, target, absorbed, {**focal, **written}, numeric, least)
 
 
 def fit(pop, target, dummies, numeric):
@@ -129,20 +141,32 @@ def fit(pop, target, dummies, numeric):
     return {"terms": terms, "beta": beta, "se": se, "n": int(round(n)), "r2": r2}
 
 
-def adjusted(pop, key, reference, groups, z=1.96):
-    """Like-for-like gap per group against the reference group, with its interval."""
+CONTROLS = ["level", "job_family", "location", "rating"]
+
+
+def adjusted(pop, key, reference, groups, z=1.96, controls=CONTROLS, numeric=("mgr", "tenure")):
+    """Like-for-like gap per group against the reference group, with its interval.  Controls may have any number of labels."""
     p = pop.where(F.col(key).isin(reference, *groups))
-    have = _categories(p, ["level", "job_family", "location", "rating"])
-    drop = lambda c, order=None: [v for v in (order or have[c]) if v in have[c]][1:]
-    dummies = {key: list(groups), "level": drop("level"), "job_family": drop("job_family"), "location": drop("location"), "rating": drop("rating", ["below", "meets", "exceeds", "outstanding"])}
-    f = fit(p, "hourly", dummies, ["mgr", "tenure"])
+    have, big = _controls(p, list(controls))
+    order = {"rating": ["below", "meets", "exceeds", "outstanding"]}
+    written = {c: [v for v in order.get(c, have[c]) if v in have[c]][1:] for c in have}
+    return _gaps(pop.sparkSession, fit_controls(p, "hourly", {key: list(groups)}, written, big, list(numeric)), key, reference, groups, z)
+
+
+def absorbed_gap(pop, key, reference, groups, controls, numeric, z=1.96):
+    """`adjusted` with every control absorbed, however few labels it has."""
+    p = pop.where(F.col(key).isin(reference, *groups))
+    return _gaps(pop.sparkSession, absorb.fit(p, "hourly", list(controls), {key: list(groups)}, list(numeric)), key, reference, groups, z)
+
+
+def _gaps(spark, f, key, reference, groups, z):
     out = []
     for g in groups:
         i = f["terms"].index(f"{key}={g}")
         b, s = float(f["beta"][i]), float(f["se"][i])
         lo, hi = sorted(((1 - math.exp(b + z * s)) * 100, (1 - math.exp(b - z * s)) * 100))
         out.append((g, reference, round(b, 6), round(s, 6), round((1 - math.exp(b)) * 100, 6), round(lo, 6), round(hi, 6), bool(b + z * s < 0 or b - z * s > 0), f["n"], round(f["r2"], 6)))
-    return pop.sparkSession.createDataFrame(out, "grp string, reference string, coef double, se double, adjusted_gap_pct double, ci_lo double, ci_hi double, significant boolean, n long, r2 double")
+    return spark.createDataFrame(out, "grp string, reference string, coef double, se double, adjusted_gap_pct double, ci_lo double, ci_hi double, significant boolean, n long, r2 double")
 
 
 def report(workers, as_of, key="gender_group"):
@@ -179,14 +203,16 @@ def adjusted_pay_gap(wf, min_people=30, min_side=10):
     n = pop.count()
     out = []
     if n >= min_people:
-        cats = {c: v[1:] for c, v in _categories(pop, ["level", "job_family", "location"], least=2).items()}
+        have, big = _controls(pop, ["level", "job_family", "location"], least=2)
+        cats = {c: v[1:] for c, v in have.items()}
         for key in ("gender", "ethnicity"):
             side = {r[key]: r for r in pop.groupBy(key).agg(F.count(F.lit(1)).alias("k"), F.avg(F.ln(F.col("base_salary").cast("double"))).alias("m")).collect()}
             k1 = side["1"]["k"] if "1" in side else 0
             if not min_side <= k1 <= n - min_side:
                 continue
-            f = fit(pop, "base_salary", {key: ["1"], **cats}, ["tenure"])
-            b, s = float(f["beta"][1]), float(f["se"][1])
+            f = fit_controls(pop, "base_salary", {key: ["1"]}, cats, big, ["tenure"], least=2)
+            i = f["terms"].index(f"{key}=1")
+            b, s = float(f["beta"][i]), float(f["se"][i])
             g = lambda v: round(100 * (math.exp(v) - 1), 1)
             out.append((key, g(b), g(b - 1.96 * s), g(b + 1.96 * s), g(side["1"]["m"] - side["0"]["m"]), bool(b - 1.96 * s > 0 or b + 1.96 * s < 0), f["n"], round(f["r2"], 3)))
     return spark.createDataFrame(out, schema)

@@ -31,6 +31,18 @@ eu AS (SELECT level, n, k >= 2 AS assessable, small, CASE WHEN k >= 2 THEN ag EN
 add("pay_equity_eu_screen", lambda s, d: pf.eu_screen(pop(s, d), "gender_group"), W, EU + "SELECT * FROM eu")
 add("pay_equity_eu_headline", lambda s, d: pf.eu_headline(pf.eu_screen(pop(s, d), "gender_group")), W, EU + "SELECT count(*) AS categories, count(*) FILTER (WHERE exceeds) AS flagged, count(*) FILTER (WHERE median_watch) AS median_watch, count(*) FILTER (WHERE exceeds) > 0 AS joint_assessment FROM eu")
 # regressions need a matrix solve, which SQL lacks: checked against numpy in the tests
+TEAM = lambda s, d: pf.population(view(s, d, "workers"), AS_OF, ["manager_id"])
+# one control with a label per team: its effects are absorbed, and SQL takes out the same team means
+add("pay_equity_team_gap", lambda s, d: pf.adjusted(TEAM(s, d), "gender_group", "A", ["B"], controls=["manager_id"], numeric=["tenure"]), W, PE + f"""k AS (SELECT CAST(manager_id AS VARCHAR) AS team, gender_group, hourly, date_diff('day', hire_date, {A}) / 365.25::DOUBLE AS tenure FROM pop WHERE gender_group IN ('A', 'B')),
+p AS (SELECT coalesce(team, (SELECT min(team) FROM k)) AS team, ln(hourly) AS y, CASE WHEN gender_group = 'B' THEN 1::DOUBLE ELSE 0 END AS g, tenure AS t FROM k),
+dm AS (SELECT team, y AS y0, y - avg(y) OVER w AS y, g - avg(g) OVER w AS g, t - avg(t) OVER w AS t FROM p WINDOW w AS (PARTITION BY team)),
+s AS (SELECT sum(g * g) AS gg, sum(g * t) AS gt, sum(t * t) AS tt, sum(g * y) AS gy, sum(t * y) AS ty, sum(y * y) AS yy, count(*) AS n, count(DISTINCT team) AS teams, var_pop(y0) * count(*) AS tss FROM dm),
+b AS (SELECT *, (tt * gy - gt * ty) / (gg * tt - gt * gt) AS bg, (gg * ty - gt * gy) / (gg * tt - gt * gt) AS bt FROM s),
+e AS (SELECT *, yy - bg * gy - bt * ty AS rss, sqrt((yy - bg * gy - bt * ty) / (n - 2 - teams) * tt / (gg * tt - gt * gt)) AS se FROM b)
+SELECT 'B' AS grp, 'A' AS reference, round_even(bg, 6) AS coef, round_even(se, 6) AS se, round_even((1 - exp(bg)) * 100, 6) AS adjusted_gap_pct, round_even((1 - exp(bg + 1.96::DOUBLE * se)) * 100, 6) AS ci_lo, round_even((1 - exp(bg - 1.96::DOUBLE * se)) * 100, 6) AS ci_hi,
+  bg + 1.96::DOUBLE * se < 0 OR bg - 1.96::DOUBLE * se > 0 AS significant, n, round_even(1 - rss / tss, 6) AS r2 FROM e""")
+# tenure held fixed within team and within site and level at once: several factors, taken out in turn
+add("pay_equity_team_site_gap", lambda s, d: pf.absorbed_gap(TEAM(s, d), "gender_group", "A", ["B"], ["manager_id", "location", "level"], ["tenure"]))
 add("pay_equity_report_gender", lambda s, d: pf.report(view(s, d, "workers"), AS_OF))
 add("metric_adjusted_pay_gap", lambda s, d: pf.adjusted_pay_gap(load(s, d)))
 
