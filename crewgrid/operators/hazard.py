@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass, field
 
@@ -221,7 +222,10 @@ def tier_counts(scored, bands):
 def _exit_curve(df, keys, horizon):
     """Model and observed exit probability over the first `horizon` months of each key.
     Months are averaged first; a key then has at most one row per month."""
-    m = df.groupBy(*keys, "month_index").agg(F.avg("p").alias("h"), F.avg("y").alias("r"), F.count(F.lit(1)).alias("n"))
+    return _curve(df.groupBy(*keys, "month_index").agg(F.avg("p").alias("h"), F.avg("y").alias("r"), F.count(F.lit(1)).alias("n")), keys, horizon)
+
+
+def _curve(m, keys, horizon):
     over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     m = m.withColumn("k", F.row_number().over(over.orderBy("month_index")))
     first = F.col("k") <= horizon
@@ -237,7 +241,11 @@ def segment_risk(scored, dims, horizon=6, floor=SEGMENT_FLOOR):
     long = scored.select("emp_id", "month_index", "p", "y", F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims])).alias("s")).select(
         "emp_id", "month_index", "p", "y", "s.dim", "s.value")
     people = long.groupBy("dim", "value", "emp_id").agg(F.lit(1).alias("one")).groupBy("dim", "value").agg(F.count("one").alias("n_emp"))
-    c = _exit_curve(long, ["dim", "value"], horizon).join(people, ["dim", "value"])
+    return _shown(_exit_curve(long, ["dim", "value"], horizon).join(people, ["dim", "value"]), horizon, floor)
+
+
+def _shown(c, horizon, floor):
+    """The figures of segments of at least `floor` people; of the others only a size band."""
     small = F.col("n_emp") < floor
     show = lambda e: F.when(~small, e)
     bu, td = half_even("bu", 6), half_even("td", 6)
@@ -248,6 +256,42 @@ def segment_risk(scored, dims, horizon=6, floor=SEGMENT_FLOOR):
         show(gap).alias("gap"), show(F.abs(gap) > RECONCILE_GAP).alias("gap_flagged"), show(F.col("months_observed") < horizon).alias("incomplete_window"))
 
 
+def combined_segment_risk(scored, dims, depth=2, horizon=6, floor=SEGMENT_FLOOR):
+    """`segment_risk` over every combination of one to `depth` dimensions, from one grouping-sets pass.
+
+    People and months are first reduced to one row per combination of all dimensions, so the sets expand cells, not
+    rows.  A segment with a missing label is one of its own, told from a dimension left out by `grouping`."""
+    if floor < SEGMENT_FLOOR or horizon < 1 or not 1 <= depth <= len(dims):
+        raise ValueError("the privacy floor can only be raised, the horizon must be positive and the depth within the dimensions")
+    sets = [list(c) for k in range(1, depth + 1) for c in itertools.combinations(dims, k)]
+    x = scored.select("emp_id", "month_index", "p", "y", *[F.col(d).cast("string").alias(d) for d in dims])
+    out = [F.grouping(d).alias(f"_{d}") for d in dims]
+    key = [*dims, *[f"_{d}" for d in dims]]
+
+    def over(cells, extra, *aggs):
+        return cells.groupingSets([[F.col(c) for c in [*s, extra]] for s in sets], *[F.col(c) for c in [*dims, extra]]).agg(*out, *aggs)
+
+    cells = x.groupBy(*dims, "month_index").agg(F.sum("p").alias("p"), F.sum("y").cast("double").alias("y"), F.count(F.lit(1)).alias("n"))
+    months = over(cells, "month_index", (F.sum("p") / F.sum("n")).alias("h"), (F.sum("y") / F.sum("n")).alias("r"), F.sum("n").alias("n"))
+    people = over(x.select("emp_id", *dims).distinct(), "emp_id", F.lit(1).alias("one"))
+    label = F.concat_ws(" & ", *[F.when(F.col(f"_{d}") == 0, F.concat(F.lit(f"{d}="), F.coalesce(F.col(d), F.lit("(none)")))) for d in dims])
+    names = F.concat_ws(" & ", *[F.when(F.col(f"_{d}") == 0, F.lit(d)) for d in dims])
+    named = lambda df: df.withColumns({"dim": names, "value": label}).drop(*key)
+    c = _curve(named(months), ["dim", "value"], horizon).join(named(people).groupBy("dim", "value").agg(F.count("one").alias("n_emp")), ["dim", "value"])
+    return _shown(c, horizon, floor)
+
+
+def extreme_segments(segments):
+    """The riskiest, the least risky and the worst reconciled of the segments that may be shown: (dim, which, segment,
+    n_employees, bottom_up, gap) for every dimension set, and for all together ("all").  Ties go by name."""
+    row = F.struct("value", "n_employees", "bottom_up", "gap")
+    pick = lambda by, which: F.min_by(row, F.struct(by.alias("by"), F.col("dim").alias("d"), F.col("value").alias("v"))).alias(which)
+    g = segments.where("not suppressed").rollup("dim").agg(F.grouping("dim").alias("_all"), pick(-F.col("bottom_up"), "highest"), pick(F.col("bottom_up"), "lowest"), pick(-F.abs("gap"), "widest_gap"))
+    ends = F.explode(F.array(*[F.struct(F.lit(w).alias("which"), F.col(w).alias("s")) for w in ("highest", "lowest", "widest_gap")]))
+    x = g.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("dim")).alias("dim"), ends.alias("e")).where("e.s is not null")
+    return x.select("dim", "e.which", F.col("e.s.value").alias("segment"), "e.s.n_employees", "e.s.bottom_up", "e.s.gap")
+
+
 def reconciliation(segments):
     shown = ~F.col("suppressed")
     return segments.agg(F.count_if(shown).alias("n_segments"), F.count_if("suppressed").alias("n_suppressed"), F.count_if(F.col("gap_flagged")).alias("n_flagged"), F.coalesce(F.max(F.abs("gap")), F.lit(0.0)).alias("max_abs_gap"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from crewgrid.operators import hazard as hz, payfit as pf
@@ -113,6 +115,20 @@ seg AS (SELECT dim, value, sup AS suppressed, CASE WHEN sup THEN CASE WHEN n_emp
 segs = lambda s, d: hz.segment_risk(scored(s, d), ["level", "job_family", "location"])
 add("hazard_segment_risk", segs, P, HZ + SEG + "SELECT * FROM seg")
 add("hazard_reconciliation", lambda s, d: hz.reconciliation(segs(s, d)), P, HZ + SEG + "SELECT count(*) FILTER (WHERE NOT suppressed) AS n_segments, count(*) FILTER (WHERE suppressed) AS n_suppressed, count(*) FILTER (WHERE gap_flagged) AS n_flagged, coalesce(max(abs(gap)), 0) AS max_abs_gap FROM seg")
+DIMS = ["level", "job_family", "location"]
+SETS = [c for k in (1, 2) for c in itertools.combinations(DIMS, k)]
+_said = lambda what: "concat_ws(' & ', " + ", ".join(f"CASE WHEN NOT g{i} THEN {what(c)} END" for i, c in enumerate(DIMS)) + ")"
+COMBINED = f""", mg AS (SELECT {', '.join(DIMS)}, {', '.join(f'GROUPING({c}) = 1 AS g{i}' for i, c in enumerate(DIMS))}, month_index, avg(p) AS h, avg(y) AS r, count(*) AS n FROM t GROUP BY GROUPING SETS ({', '.join(f"({', '.join(c)}, month_index)" for c in SETS)})),
+pg AS (SELECT {', '.join(DIMS)}, {', '.join(f'GROUPING({c}) = 1 AS g{i}' for i, c in enumerate(DIMS))}, count(DISTINCT emp_id) AS n_emp FROM t GROUP BY GROUPING SETS ({', '.join(f"({', '.join(c)})" for c in SETS)})),
+mo AS (SELECT dim, value, h, r, n, row_number() OVER (PARTITION BY dim, value ORDER BY month_index) AS k FROM (SELECT *, {_said(lambda c: f"'{c}'")} AS dim, {_said(lambda c: f"'{c}=' || coalesce({c}, '(none)')")} AS value FROM mg)),
+cv AS (SELECT dim, value, round_even(1 - product(CASE WHEN k <= 6 THEN 1 - h ELSE 1 END), 6) AS bu, round_even(1 - product(CASE WHEN k <= 6 THEN 1 - r ELSE 1 END), 6) AS td, CAST(sum(n) AS BIGINT) AS rows, count(*) AS mo FROM mo GROUP BY 1, 2),
+sg AS (SELECT cv.*, e.n_emp, e.n_emp < 30 AS sup FROM cv JOIN (SELECT {_said(lambda c: f"'{c}'")} AS dim, {_said(lambda c: f"'{c}=' || coalesce({c}, '(none)')")} AS value, n_emp FROM pg) e ON cv.dim = e.dim AND cv.value = e.value),
+""" + SEG[SEG.index("seg AS"):]
+combined = lambda s, d: hz.combined_segment_risk(scored(s, d), DIMS)
+add("hazard_combined_segments", combined, P, HZ + COMBINED + "SELECT * FROM seg")
+add("hazard_extreme_segments", lambda s, d: hz.extreme_segments(combined(s, d)), P, HZ + COMBINED + """, sh AS (SELECT * FROM seg WHERE NOT suppressed), al AS (SELECT *, dim AS scope FROM sh UNION ALL SELECT *, 'all' FROM sh),
+rk AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY bottom_up DESC, dim, value) AS hi, row_number() OVER (PARTITION BY scope ORDER BY bottom_up, dim, value) AS lo, row_number() OVER (PARTITION BY scope ORDER BY abs(gap) DESC, dim, value) AS wg FROM al)
+SELECT scope AS dim, w AS which, value AS segment, n_employees, bottom_up, gap FROM rk, (VALUES ('highest'), ('lowest'), ('widest_gap')) v(w) WHERE CASE w WHEN 'highest' THEN hi WHEN 'lowest' THEN lo ELSE wg END = 1""")
 CO = """, mo AS (SELECT month_index, avg(p) AS h, avg(y) AS r, count(*) AS n, row_number() OVER (ORDER BY month_index) AS k FROM t GROUP BY 1)
 """
 add("hazard_company_risk", lambda s, d: hz.company_risk(scored(s, d)), P, HZ + CO + ", c AS (SELECT round_even(1 - product(1 - h), 6) AS bu, round_even(1 - product(1 - r), 6) AS td, CAST(sum(n) AS BIGINT) AS n, count(*) AS m FROM mo WHERE k <= 6) SELECT bu AS bottom_up, td AS top_down, round_even(bu - td, 6) AS gap, (SELECT count(DISTINCT emp_id) FROM t) AS n_employees, n AS n_rows, m AS months_observed FROM c")
