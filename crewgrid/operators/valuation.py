@@ -91,45 +91,72 @@ def _cholesky(c):
     return low
 
 
+def _blocks(awards, keys=()):
+    """Awards cut into blocks of paths that Spark spreads over tasks.  A block's draws depend only on (seed, award,
+    block), so a repeated task repeats its numbers."""
+    blocks = awards.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("paths") / BLOCK).cast("int") - 1)))
+    cols = ["award_id", "award_key", "block", "issuer", "years", "rate", "paths", "seed", "spots", "vols", "yields", "corr", "curve_x", "curve_y"]
+    return blocks.withColumn("award_key", F.xxhash64("award_id")).repartition("award_id", "block").select(*cols, *keys)
+
+
+def _draw(r):
+    """Percentile, payout and final price of every path of one block."""
+    k = int(min(BLOCK, r.paths - r.block * BLOCK))
+    n = len(r.spots)
+    rng = np.random.default_rng([int(r.seed), int(r.award_key) & 0xFFFFFFFF, int(r.block)])
+    z = rng.standard_normal((k, n)) @ _cholesky(np.asarray(r.corr, float).reshape(n, n)).T
+    s0, v, q = (np.asarray(a, float) for a in (r.spots, r.vols, r.yields))
+    growth = np.exp((r.rate - q - 0.5 * v * v) * r.years + v * math.sqrt(r.years) * z)
+    st, ratio = s0 * growth, growth * np.exp(q * r.years)  # equal growth ties exactly, whatever the spots
+    own = ratio[:, [r.issuer]]
+    pct = np.round(100.0 * ((ratio < own).sum(1) + ((ratio == own).sum(1) - 1) / 2.0) / (n - 1), 2)
+    x, y = np.asarray(r.curve_x, float), np.asarray(r.curve_y, float)
+    return pct, np.where(pct < x[0], 0.0, np.interp(pct, x, y)), st[:, r.issuer]
+
+
 def simulate(awards):
     """Risk-neutral paths of every award.
 
     awards: award_id, issuer (position), years, rate, paths, seed, arrays spots,
-    vols, yields, corr (row-major) and curve_x, curve_y.  An award is cut into
-    blocks of paths that Spark spreads over tasks; a block's draws depend only on
-    (seed, award, block), so a repeated task repeats its numbers."""
-    blocks = awards.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("paths") / BLOCK).cast("int") - 1)))
-    blocks = blocks.withColumn("award_key", F.xxhash64("award_id")).repartition("award_id", "block")
+    vols, yields, corr (row-major) and curve_x, curve_y."""
 
     def run(batches):
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                k = int(min(BLOCK, r.paths - r.block * BLOCK))
-                n = len(r.spots)
-                rng = np.random.default_rng([int(r.seed), int(r.award_key) & 0xFFFFFFFF, int(r.block)])
-                z = rng.standard_normal((k, n)) @ _cholesky(np.asarray(r.corr, float).reshape(n, n)).T
-                s0, v, q = (np.asarray(a, float) for a in (r.spots, r.vols, r.yields))
-                growth = np.exp((r.rate - q - 0.5 * v * v) * r.years + v * math.sqrt(r.years) * z)
-                st, ratio = s0 * growth, growth * np.exp(q * r.years)  # equal growth ties exactly, whatever the spots
-                own = ratio[:, [r.issuer]]
-                pct = np.round(100.0 * ((ratio < own).sum(1) + ((ratio == own).sum(1) - 1) / 2.0) / (n - 1), 2)
-                x, y = np.asarray(r.curve_x, float), np.asarray(r.curve_y, float)
-                pay = np.where(pct < x[0], 0.0, np.interp(pct, x, y))
-                term = st[:, r.issuer]
-                yield pd.DataFrame({"award_id": r.award_id, "path": r.block * BLOCK + np.arange(k), "percentile": pct, "payout_pct": pay, "terminal": term, "payoff": term * pay / 100.0})
+                pct, pay, term = _draw(r)
+                yield pd.DataFrame({"award_id": r.award_id, "path": r.block * BLOCK + np.arange(len(pct)), "percentile": pct, "payout_pct": pay, "terminal": term, "payoff": term * pay / 100.0})
 
-    cols = ["award_id", "award_key", "block", "issuer", "years", "rate", "paths", "seed", "spots", "vols", "yields", "corr", "curve_x", "curve_y"]
-    return blocks.select(*cols).mapInPandas(run, PATH_SCHEMA)
+    return _blocks(awards).mapInPandas(run, PATH_SCHEMA)
+
+
+def valuation(awards, keys=()):
+    """Fair value per target share with its error and interval, per award.  keys: further columns of the awards to carry.
 
+    Only a block's count, mean and spread leave its task, never its paths."""
+    names = ["award_id", *keys]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in awards.select(*names).schema)
 
-def valuation(awards):
-    """Fair value per target share with its error and interval, per award."""
-    p = simulate(awards).groupBy("award_id").agg(F.count(F.lit(1)).alias("n"), F.avg("payoff").alias("m"), F.stddev_samp("payoff").alias("s"), F.avg("payout_pct").alias("mean_payout_pct"), F.avg("percentile").alias("mean_percentile"))
-    j = p.join(awards.select("award_id", "rate", "years", F.element_at("spots", F.col("issuer") + 1).alias("spot")), "award_id")
-    disc = F.exp(-F.col("rate") * F.col("years"))
-    fv, se = F.col("m") * disc, F.coalesce(F.col("s"), F.lit(0.0)) * disc / F.sqrt("n")
-    return j.select("award_id", F.col("n").alias("paths"), half_even(fv, 4).alias("fair_value"), half_even(se, 4).alias("standard_error"), half_even(fv - 1.96 * se, 4).alias("ci_low"), half_even(fv + 1.96 * se, 4).alias("ci_high"),
-                    half_even(fv / F.col("spot"), 4).alias("ratio_to_spot"), half_even("mean_payout_pct", 4).alias("mean_payout_pct"), half_even("mean_percentile", 4).alias("mean_percentile"))
+    def run(batches):
+        for pdf in batches:
+            sums = []
+            for r in pdf.itertuples(index=False):
+                pct, pay, term = _draw(r)
+                v = term * pay / 100.0
+                sums.append((len(v), v.mean(), ((v - v.mean()) ** 2).sum(), pay.mean(), pct.mean(), math.exp(-r.rate * r.years), float(r.spots[r.issuer])))
+            out = pdf[names].copy()
+            for c, x in zip(("n", "m", "m2", "pay", "pct", "disc", "spot"), zip(*sums) if sums else [()] * 7):
+                out[c] = np.asarray(x, dtype="int64" if c == "n" else float)
+            yield out
+
+    b = _blocks(awards, keys).mapInPandas(run, kept + ", n long, m double, m2 double, pay double, pct double, disc double, spot double")
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    g = b.groupBy(*names).agg(F.sum("n").alias("paths"), mean("m").alias("mean"), F.sum("m2").alias("inside"), F.sum(F.col("n") * F.col("m") ** 2).alias("square"), F.count(F.lit(1)).alias("blocks"),
+                              mean("pay").alias("pay"), mean("pct").alias("pct"), F.max("disc").alias("disc"), F.max("spot").alias("spot"))
+    between = F.when(F.col("blocks") > 1, F.greatest(F.lit(0.0), F.col("square") - F.col("paths") * F.col("mean") ** 2)).otherwise(0.0)
+    sd = F.when(F.col("paths") > 1, F.sqrt((F.col("inside") + between) / (F.col("paths") - 1))).otherwise(0.0)
+    fv, se = F.col("mean") * F.col("disc"), sd * F.col("disc") / F.sqrt("paths")
+    return g.select(*names, "paths", half_even(fv, 4).alias("fair_value"), half_even(se, 4).alias("standard_error"), half_even(fv - 1.96 * se, 4).alias("ci_low"), half_even(fv + 1.96 * se, 4).alias("ci_high"),
+                    half_even(fv / F.col("spot"), 4).alias("ratio_to_spot"), half_even("pay", 4).alias("mean_payout_pct"), half_even("pct", 4).alias("mean_percentile"))
 
 
 def path_distribution(paths, column):
@@ -258,12 +285,12 @@ def psu_values(inputs, curve, paths=3000, seed=30414):
     i = inputs.withColumn("award_id", F.concat_ws("/", "company_id", "at", "performance_end"))
     n = F.size("peer_spots") + 1
     names = F.sequence(F.lit(0), n - 1)
+    keys = ["company_id", "at", "performance_end"]
     awards = i.select(
-        "award_id", F.lit(0).alias("issuer"), "years", "rate", F.lit(paths).alias("paths"), F.lit(seed).alias("seed"), F.concat(F.array("spot"), "peer_spots").alias("spots"),
+        "award_id", *keys, F.lit(0).alias("issuer"), "years", "rate", F.lit(paths).alias("paths"), F.lit(seed).alias("seed"), F.concat(F.array("spot"), "peer_spots").alias("spots"),
         F.array_repeat("vol", n).alias("vols"), F.array_repeat("dividend", n).alias("yields"), F.flatten(F.transform(names, lambda a: F.transform(names, lambda b: F.when(a == b, 1.0).otherwise(F.col("off_diagonal"))))).alias("corr"),
         F.array(*[F.lit(float(a)) for a, _ in curve]).alias("curve_x"), F.array(*[F.lit(float(b)) for _, b in curve]).alias("curve_y"))
-    v = valuation(awards).select("award_id", F.col("fair_value").alias("per_share"), "standard_error")
-    return i.select("award_id", "company_id", "at", "performance_end").join(v, "award_id").drop("award_id")
+    return valuation(awards, keys).select(*keys, F.col("fair_value").alias("per_share"), "standard_error")
 
 
 def live_dividends(tranches, paid, calendar):
