@@ -329,7 +329,7 @@ def company_return(prices, calendar, base):
     return prices.join(F.broadcast(calendar.select("fy", F.col("ye").alias("day"))), "day").join(b, "company_id").select("company_id", "fy", half_even(100.0 * F.col("price") / F.col("_b"), 2).alias("company_tsr_value"))
 
 
-def peer_return(returns, peers, weights=None):
+def peer_return(returns, peers, weights=None, digits=2):
     """Peer-group value of 100 per company and year: the mean of its peers' values, weighted where weights
     (company_id, weight) are given.  Years in which no peer has a value are absent."""
     r = returns.select(F.col("company_id").alias("peer"), "fy", "company_tsr_value")
@@ -337,7 +337,7 @@ def peer_return(returns, peers, weights=None):
     x = x.withColumn("weight", F.lit(1)) if weights is None else x.join(weights.select(F.col("company_id").alias("peer"), "weight"), "peer")
     w = F.col("weight").cast("decimal(18,6)")
     value = F.sum((w * F.col("company_tsr_value").cast("decimal(16,4)")).cast("decimal(38,10)")).cast("double") / F.sum(w).cast("double")
-    return x.groupBy("company_id", "fy").agg(half_even(value, 2).alias("peer_tsr_value"))
+    return x.groupBy("company_id", "fy").agg(half_even(value, digits).alias("peer_tsr_value"))
 
 
 PERFORMANCE = ["company_tsr_value", "peer_tsr_value", "net_income_usd", "csm_usd"]

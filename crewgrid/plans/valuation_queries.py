@@ -118,7 +118,7 @@ def open_bridge(s, d, vol=0.0, paths=2):
 
 def performance(s, d):
     returns = vl.company_return(view(s, d, "company_prices"), vl.fiscal_calendar(s, YEARS), "1996-12-31")
-    return vl.performance_table(open_bridge(s, d), returns, vl.peer_return(returns, PEERS(s, d)), view(s, d, "filer_results"), digits=6)
+    return vl.performance_table(open_bridge(s, d), returns, vl.peer_return(returns, PEERS(s, d), digits=6), view(s, d, "filer_results"), digits=6)
 
 
 MIDDLE = "(50::DOUBLE + 25 * 50::DOUBLE / 30)"  # payout at the 50th percentile of CURVE
@@ -131,7 +131,7 @@ OQ = OQ.replace("br0 AS (SELECT o.*, ", """dv AS (SELECT t.company_id, neo_id, a
 br0 AS (SELECT o.*, coalesce(dv.amount, 0) AS dividends, """).replace("LEFT JOIN officer_pension p", "LEFT JOIN dv ON dv.neo_id = o.neo_id AND dv.company_id = o.company_id AND dv.fy = o.fy LEFT JOIN officer_pension p")
 OQ = OQ.replace("0.0::DOUBLE AS dividends, pension", "dividends, pension").replace(" + forfeited, 6) AS equity", " + forfeited + dividends, 6) AS equity").replace(" + forfeited + pension, 6) AS cap", " + forfeited + dividends + pension, 6) AS cap")
 OQ = OQ.rstrip() + """,
-pr AS (SELECT p.company_id, ct.fy, round_even(CAST(sum(CAST(company_tsr_value AS DECIMAL(16, 4))) AS DOUBLE) / count(*), 2) AS peer_tsr_value FROM pay_peers p JOIN ct ON ct.company_id = p.peer GROUP BY 1, 2),
+pr AS (SELECT p.company_id, ct.fy, round_even(CAST(sum(CAST(company_tsr_value AS DECIMAL(16, 4))) AS DOUBLE) / count(*), 6) AS peer_tsr_value FROM pay_peers p JOIN ct ON ct.company_id = p.peer GROUP BY 1, 2),
 ft AS (SELECT pt.*, peer_tsr_value, round_even(net_income_usd, 6) AS net_income_usd, round_even(csm_usd, 6) AS csm_usd FROM pt LEFT JOIN pr ON pr.company_id = pt.company_id AND pr.fy = pt.fy LEFT JOIN filer_results f ON f.company_id = pt.company_id AND f.fy = pt.fy)
 """
 add("pvp_psu_inputs", lambda s, d: psu_inputs(s, d).select("company_id", "at", "performance_end", "n_tranches", "shares", "spot", F.bround("years", 9).alias("years"), F.size("peer_spots").alias("n_peers"), F.array_join("peer_spots", ",").alias("peer_spots")), OV, OQ + """,
