@@ -190,3 +190,13 @@ def test_stream_state_equals_batch_over_restarts(spark, registry, tmp_path):
     got = sorted((r.rule, r.ledger_id, r.key) for r in st.violations(spark, f"{tmp_path}/out").collect())
     want = sorted((r.rule, str(r.ledger_id), r.key) for r in approval_rules(df).collect())
     assert got == want and {"action_replay", "action_ungated", "action_substituted", "approval_scope_pivot", "approval_forged", "approval_unbound"} <= {r for r, _, _ in got}
+
+
+def test_lines_are_parsed_for_one_stored_table(spark, monkeypatch):
+    """Unreadable ledgers are found among the stored events, not by parsing all lines a second time."""
+    plans, keep = [], el.stored
+    monkeypatch.setattr(el, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    df = spark.createDataFrame([("a", 1, "{}"), ("b", 1, "{"), ("b", 2, "[]")], "ledger_id string, line_no long, line string")
+    bad, events = el.read(df)
+    assert [(r.rule, r.ledger_id, r.key) for r in bad.collect()] == [("invalid_json", "b", "0")] and [r.ledger_id for r in events.collect()] == ["a"]
+    assert sum("parseJson" in p for p in plans) == 1
