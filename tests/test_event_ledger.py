@@ -200,3 +200,27 @@ def test_lines_are_parsed_for_one_stored_table(spark, monkeypatch):
     bad, events = el.read(df)
     assert [(r.rule, r.ledger_id, r.key) for r in bad.collect()] == [("invalid_json", "b", "0")] and [r.ledger_id for r in events.collect()] == ["a"]
     assert sum("parseJson" in p for p in plans) == 1
+
+
+def test_rules_read_only_their_columns(spark, registry, monkeypatch):
+    """What a group of rules does not read is neither computed nor stored, and its violations stay the same."""
+    from pyspark.sql import functions as F
+
+    plans, keep = [], el.stored
+    monkeypatch.setattr(el, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    repeated = ledger([event(idempotency_key="k"), event(idempotency_key="k", payload={}), event(actor="bob", channel="d")])
+    lines = [*repeated[:2], dict(repeated[2], prev_hash="0" * 64), *thread(registry_version="v0")]
+    rows = [("a", i, canon(e)) for i, e in enumerate(lines)] + [("cut", 0, "{")]
+    df = spark.createDataFrame(rows, "ledger_id string, line_no long, line string")
+    members = spark.createDataFrame([("ann", "c")], "actor_id string, channel string")
+    cases = {
+        el.CHAIN: el.chain_rules, el.IDENTITY: lambda e: el.identity_rules(e, registry[0], members), el.FORMS: lambda e: el.approval_form_rules(e, "v1"),
+        el.AUTHORITY: lambda e: el.authority_rules(e, registry),
+    }
+    every = el.read(df)[1]
+    for columns, rules in cases.items():
+        plans.clear()
+        e = el.read(df, columns)[1]
+        assert e.columns == ["ledger_id", "position", *columns] and "sha2(" not in plans[0]
+        assert sorted(map(tuple, rules(e).collect())) == sorted(map(tuple, rules(every).collect()))
+    assert el.chain_rules(el.read(df, el.CHAIN)[1]).where(F.col("rule") == "double_processed").count() == 1
