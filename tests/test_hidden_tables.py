@@ -1,6 +1,7 @@
 """Which tables of a page a reader sees, and which cells hold an amount."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from crewgrid.functions import text
 from crewgrid.operators.proxy_tables import _Cells
@@ -32,3 +33,10 @@ def test_amounts(spark):
     t = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(CELLS)], "i int, c string")
     got = {r.i: (r.p.value, r.p.flag) for r in t.select("i", text.parse_money("c").alias("p")).collect()}
     assert [got[i] for i in range(len(CELLS))] == [(v, f) for _, v, f in CELLS]
+
+
+def test_amounts_are_read_once_a_row(spark):
+    """However often a value and its flag are used, the cell meets each regular expression once."""
+    p = spark.createDataFrame([("$1,234.50(2)",)], "c string").withColumn("p", text.parse_money("c"))
+    x = p.select((F.coalesce("p.value", F.lit(0.0)) + F.when(F.col("p.flag") == "ok", F.col("p.value")).otherwise(F.lit(-1.0))).alias("twice"))
+    assert x.first()["twice"] == 2469.0 and x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
