@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -411,6 +412,20 @@ def test_suffix_dedup(spark, odd, none, monkeypatch, crowd):
     assert suffixes.deduplicate(none).count() == 0
 
 
+def test_suffix_block_memory():
+    """A block of BLOCK bytes is sorted in a small part of a task's memory, tied suffixes in parts of whole groups."""
+    draw = np.random.default_rng(1)
+    n = suffixes.BLOCK // 550 // 2
+    stretches = [draw.integers(97, 120, 550).astype(np.uint8).tobytes() for _ in range(n) for _ in range(2)]
+    stretches = [stretches[i // 2 * 2] for i in range(2 * n)]
+    tracemalloc.start()
+    masks = suffixes.sort_block([i // 2 for i in range(2 * n)], stretches, np.full(2 * n, 120, np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(m.all() for m in masks)
+    assert peak < 150e6
+
+
 def test_difference_cover():
     cover = suffixes.difference_cover()
     assert {(a - b) % suffixes.PERIOD for a in cover for b in cover} == set(range(suffixes.PERIOD))
