@@ -24,6 +24,7 @@ ignored."""
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ MATCHES = 18
 SMALL = 32
 TILE = 1024
 COUNTS = 1 << 20
+CUT = 4096
+YIELD = 0.25
 FEATURES = 1 << 18
 GRID = 1 << 16
 
@@ -151,9 +154,8 @@ def _needed(texts, ids):
 
 
 def verified(spark, texts, pairs, idf, similarity=SIMILARITY):
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold.  Texts of b move to their a; an a with many
+    """The pairs (a, b), stored and all different, whose weighted Jaccard similarity reaches the threshold.  Texts of b move to their a; an a with many
     partners is dealt to several tasks."""
-    pairs = X.written(spark, pairs.select("a", "b").where("a <> b").distinct(), "pairs")
     hubs = pairs.groupBy("a").agg(F.expr("cast(ceil(count(*) / 64) AS int)").alias("salts"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     some = _needed(texts, ids)
@@ -216,12 +218,27 @@ def _postings(texts, ids, idf, similarity):
         for b in batches:
             for _, _, data, offs in X.pieces(b.column(1)):
                 total += np.bincount((_bags(data, offs, held.value)[1] & np.uint64(COUNTS - 1)).astype(np.int64), minlength=COUNTS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        cuts, parts = [], []
+        for cut in range(0, COUNTS, CUT):
+            at = np.flatnonzero(total[cut:cut + CUT])
+            if len(at):
+                cuts.append(cut)
+                parts.append(at.astype(np.uint16).tobytes() + total[cut + at].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.int64()), pa.array(parts, pa.binary())], names=["cut", "part"])
+
+    def add(batches):
+        sums = {}
+        for b in batches:
+            for cut, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = len(part) // 10
+                total = sums.setdefault(cut, np.zeros(CUT, np.int64))
+                total[np.frombuffer(part, np.uint16, n)] += np.frombuffer(part[2 * n:], np.int64, n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["cut", "part"])
 
-    rows = near.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # COUNTS rows at most
+    rows = near.mapInArrow(count, "cut long, part binary").repartition("cut").mapInArrow(add, "cut long, part binary").toArrow()  # COUNTS numbers at most
     often = np.zeros(COUNTS, np.int64)
-    often[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    for cut, part in zip(rows["cut"].to_pylist(), rows["part"].to_pylist()):
+        often[cut:cut + CUT] = np.frombuffer(part, np.int64)
     table = sc.broadcast(often)
     kind = texts.schema["id"].dataType.simpleString()
 
@@ -312,31 +329,44 @@ def _cross_pairs(postings, nodes, similarity, best):
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("same").alias("same"))
 
 
-def settled(spark, texts, ids, sigs, links, labels, idf, similarity=SIMILARITY):
-    """links and labels after all pairs of ids in different components are tested.  While the likeliest partners bring links, only
-    they are verified; the last round verifies every pair left."""
+def joined(spark, labels, *links):
+    """(id, label) after further links: the components of the old ones, each hung on its label, and the links."""
+    ends = [labels.where("id <> label").select(F.col("label").alias("u"), F.col("id").alias("v")), *(x.select(F.col("a").alias("u"), F.col("b").alias("v")) for x in links)]
+    return components(spark, reduce(lambda x, y: x.union(y), ends))
+
+
+def settled(spark, texts, ids, sigs, labels, idf, likely, similarity=SIMILARITY):
+    """labels after all pairs of ids in different components, and the pairs `likely`, are tested.  While at least
+    YIELD of the likeliest partners are links, only they are verified; the last round verifies every pair left."""
     code = F.expr("transform(sig, x -> cast(pmod(hash(x), 256) - 128 AS tinyint))")  # equal samples have equal bytes
     coded = X.written(spark, sigs.join(ids, "id", "left_semi").select("id", code.alias("code")), "coded")
     postings = X.written(spark, _postings(texts, ids, idf, similarity), "postings")
     shared = postings.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     postings = X.written(spark, postings.join(shared, "shingle"), "postings")
-    best = True
+    best, waiting, links = True, likely.select("a", "b"), []
     while True:
         nodes = coded.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "code")
         pairs = X.written(spark, _cross_pairs(postings, nodes, similarity, best), "likely")
-        if pairs.isEmpty():
-            return links, labels
         if best:
             both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
-            pairs = both.groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = verified(spark, texts, pairs, idf, similarity)
-        grown = not new.isEmpty()
-        if grown:
-            links = X.written(spark, links.union(new.select("a", "b")), "links")
-            labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        if not best:
-            return links, labels
-        best = grown
+            pairs = both.groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = X.written(spark, pairs, "likely")
+        nothing = pairs.isEmpty()
+        if nothing and waiting is None:
+            return joined(spark, labels, *links) if links else labels
+        tested = pairs if waiting is None else X.written(spark, pairs.select("a", "b").union(waiting).distinct(), "pairs")
+        new = verified(spark, texts, tested.select("a", "b"), idf, similarity)
+        found = new.count()
+        own = found if waiting is None else new.join(pairs, ["a", "b"], "left_semi").count()
+        if found:
+            links.append(new)
+        last = nothing or not best
+        more = not last and own >= YIELD * pairs.count()
+        if links and (last or more):  # the last round may test a few pairs that single links have joined meanwhile
+            labels, links = joined(spark, labels, *links), []
+        if last:
+            return labels
+        best, waiting = more, None
 
 
 def _busy(spark, members, labels):
@@ -360,20 +390,19 @@ def near_groups(docs, id_col="doc_id", text_col="text", similarity=SIMILARITY):
     members = X.written(spark, found.join(shared, "key"), "shared")
     led = _alike(members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sigs)
     best = led.groupBy("b").agg(F.min(F.struct((-F.col("same")).alias("less"), F.col("a"))).alias("x"))
-    links = verified(spark, texts, best.select(F.col("x.a").alias("a"), "b"), idf, similarity).select("a", "b")
+    led = X.written(spark, best.select(F.col("x.a").alias("a"), "b"), "led")
+    links = verified(spark, texts, led, idf, similarity)
     # links between parts that are not yet joined
     labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     small = _busy(spark, members.where(F.col("n") <= SMALL), labels)
     side = lambda c: small.select("key", F.col("id").alias(c), F.col("label").alias(f"label_{c}"))
     pairs = side("a").join(side("b"), "key").where("a < b AND label_a <> label_b").select("a", "b").distinct()
     likely = X.written(spark, _alike(pairs, sigs), "likely")
-    new = likely.limit(0) if likely.isEmpty() else verified(spark, texts, likely, idf, similarity)
-    if not new.isEmpty():
-        links = X.written(spark, links.union(new.select("a", "b")), "links")
-        labels = components(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     rest = X.written(spark, _busy(spark, members.where(F.col("n") > SMALL), labels).select("id").distinct(), "rest")
     if not rest.isEmpty():
-        links, labels = settled(spark, texts, rest, sigs, links, labels, idf, similarity)
+        labels = settled(spark, texts, rest, sigs, labels, idf, likely, similarity)
+    elif not likely.isEmpty():
+        labels = joined(spark, labels, verified(spark, texts, likely, idf, similarity))
     return classed.join(labels.select(F.col("id").alias("class_id"), "label"), "class_id", "left").select("id", "class_id", F.coalesce("label", "class_id").alias("group_id"))
 
 

@@ -13,6 +13,7 @@ import pytest
 
 from crewgrid.llm import catalog, chat, contamination, mincut, mixing, neardup, pieces, quality, secrets, suffixes, toxicity
 from crewgrid.llm import textops as X
+from crewgrid.llm.components import components
 from tests.oracle_check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -412,6 +413,17 @@ def test_suffix_dedup(spark, odd, none, monkeypatch, crowd):
     assert suffixes.deduplicate(none).count() == 0
 
 
+def test_components_stop(spark, monkeypatch):
+    """Edges that are settled are written once; others as long as a round changes them."""
+    names, old = [], X.written
+    monkeypatch.setattr(X, "written", lambda spark, df, name: names.append(name) or old(spark, df, name))
+    star = spark.createDataFrame([(1, 2), (3, 1), (4, 5)], "u long, v long")
+    assert sorted(map(tuple, components(spark, star).collect())) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert names == ["edges"]
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 12)] + [(20, 21)], "u long, v long")
+    assert {tuple(r) for r in components(spark, chain).collect()} == {(k, 1) for k in range(1, 13)} | {(20, 20), (21, 20)}
+
+
 def test_suffix_block_memory():
     """A block of BLOCK bytes is sorted in a small part of a task's memory, tied suffixes in parts of whole groups."""
     draw = np.random.default_rng(1)
