@@ -520,3 +520,31 @@ def test_probabilities_add_up():
     head = np.frombuffer(start, np.uint8).astype(np.uint16)
     scorer.run(base, head, np.arange(len(head)), np.zeros(len(head), np.int64), mixing._contexts(head, np.arange(len(head))))
     assert math.isclose(np.exp(state["log"] - base["log"][0]).sum(), 1.0, rel_tol=1e-3)
+
+
+def test_start_weights_come_from_all_training_texts(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, " ".join(f"{w}{(i * k) % 17}" for k, w in enumerate(("pay", "grant", "board", "vote")[i % 3:], 1)), i % 7 == 0) for i in range(60)]
+    texts = spark.createDataFrame(rows, "id int, text string, held_out boolean").repartition(3)
+    body = [t.encode() for _, t, h in rows if not h]
+    data, offs = np.frombuffer(b"".join(body), np.uint8), np.cumsum([0, *map(len, body)])
+    sym, place, _ = mixing._symbols(data, offs)
+    code, model = mixing.Code(np.bincount(sym, minlength=257)), mixing.Model(sample=5)
+    zeros, ones = mixing._bit_counts(texts, code)
+    got = mixing._start_weights(texts, code, zeros, ones, model, len(body))
+    ctx, parts = mixing._contexts(sym, place), {}
+    for j, s, _, near, node, y in mixing._by_depth(code, sym, None, ctx):
+        at = [mixing._slots(k, near[k], node) + int(mixing.FIRST[k]) for k in range(len(mixing.SLOTS))]
+        x = [np.log((np.maximum(ones[a] - y, 0) + model.smooth) / (np.maximum(zeros[a] - (1.0 - y), 0) + model.smooth)) for a in at]
+        parts.setdefault(min(j, mixing.DEPTHS - 1), []).append((np.array(x, float), y.astype(float)))
+    for d, p in parts.items():
+        x, y = np.concatenate([q[0] for q in p], 1), np.concatenate([q[1] for q in p])
+        value = lambda w: -np.logaddexp(0, np.where(y, -1, 1) * (w @ x)).sum() - ((w - 0.3) ** 2).sum() / 2
+        w = got[d].astype(float)
+        for _ in range(200):  # the optimum over every training text, by halved Newton steps
+            q = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+            move = np.linalg.solve((x * (q * (1 - q))) @ x.T + np.eye(len(w)), x @ (y - q) - (w - 0.3))
+            while np.abs(move).max() > 1e-9 and value(w + move) < value(w):
+                move /= 2
+            w = w + move
+        assert np.allclose(got[d], w, atol=0.01)
