@@ -40,3 +40,22 @@ def test_amounts_are_read_once_a_row(spark):
     p = spark.createDataFrame([("$1,234.50(2)",)], "c string").withColumn("p", text.parse_money("c"))
     x = p.select((F.coalesce("p.value", F.lit(0.0)) + F.when(F.col("p.flag") == "ok", F.col("p.value")).otherwise(F.lit(-1.0))).alias("twice"))
     assert x.first()["twice"] == 2469.0 and x._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 2
+
+
+def test_cells_are_cleaned_once_whatever_is_asked_of_them(spark):
+    from pyspark.sql import functions as F
+
+    from crewgrid.functions.text import parse_money
+    from crewgrid.operators import proxy_tables as px
+    from crewgrid.session import guard
+
+    guard(spark)
+    data = [(1, 0, 0, ["20\u200b25", "$", " a "]), (2, 0, 0, ["$", ""]), (3, 0, 0, None), (4, 0, 0, ["2024", "é\ufeff"])]
+    rows = px.clean_rows(spark.createDataFrame(data, "doc_id int, table_no int, row_no long, cells array<string>"))
+    found = rows.where(F.array_join("cells", " ").rlike(px.YEAR))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
+    assert [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, 0, 0, ["2025", "a"]), (4, 0, 0, ["2024", "é"])]
+    cells = ["$1,234", " 12 ", "1,", "$$5", "(7)", "1.50", "1\n", "$", "5 (2)", "5 6x", None]
+    money = spark.createDataFrame(list(enumerate(cells)), "i int, c string").select("i", parse_money("c").alias("m")).orderBy("i").collect()
+    assert [tuple(r.m) for r in money] == [
+        (1234.0, "ok"), (12.0, "ok"), (1.0, "ok"), (5.0, "ok"), (-7.0, "ok"), (1.5, "ok"), (1.0, "ok"), (None, "empty"), (5.0, "ok"), (None, "unparseable"), (None, "empty")]
